@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import decontamination, line_dedup
 from .common import documents
 from .sharding import shard_by_bytes
 from .token_counts import token_counts
@@ -22,17 +24,31 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), tokenizer_path(), end_id=2)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "contaminated", "n_items", F.array_join("items", ",").alias("items"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), 40)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_decontamination": decontamination.SQL,
+    "op9_line_dedup": line_dedup.SQL,
+}
