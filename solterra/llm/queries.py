@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, line_dedup, pii, quality
 from .common import documents
+from .ngram_join import ngram_join
 from .sharding import shard_by_bytes
 from .token_counts import token_counts
 from .token_output import token_output
@@ -24,6 +25,10 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(documents(spark, sf_dir), tokenizer_path(), end_id=2)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select("doc_id", "contaminated", "n_items", F.array_join("items", ",").alias("items"))
@@ -51,6 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_output": op1_token_output,
+    "op2_ngram_join": op2_ngram_join,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
     "op7_quality": op7_quality,
