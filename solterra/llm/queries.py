@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, pii, quality
+from . import decontamination, language_id, line_dedup, mixing, pii, quality
 from .common import documents
 from .ngram_join import ngram_join
 from .sharding import shard_by_bytes
@@ -38,6 +38,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(documents(spark, sf_dir), 40)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.mixing(documents(spark, sf_dir), labelled, {"high": 0.9, "low": 0.1, "toxic": 0.0})
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
@@ -59,6 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_decontamination": op3_decontamination,
     "op4_sharding": op4_sharding,
+    "op5_mixing": op5_mixing,
+    "op6_language_id": op6_language_id,
     "op7_quality": op7_quality,
     "op8_pii": op8_pii,
     "op9_line_dedup": op9_line_dedup,
