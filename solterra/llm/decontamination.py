@@ -27,15 +27,15 @@ def _word_hashes(text):
     return F.transform(F.filter(F.split(clean, " ", -1), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seeds(words: str):
-    """Column: array<struct<pos, h array<long>>>, the masks' hashes at each place of an array column."""
-    col = F.col(words)
+def _seeds(rows: DataFrame, words: str, *keep: str) -> DataFrame:
+    """keep, pos, h: the masks' hashes at each place of an array column that is SPAN words from its end or more.
 
-    def at(x, i):
-        kept = [[x if k == 0 else F.get(col, i + k) for k, bit in enumerate(m) if bit == "1"] for m in MASKS]
-        return F.struct(i.alias("pos"), F.array(*(F.xxhash64(F.lit(n), *ws) for n, ws in enumerate(kept))).alias("h"))
-
-    return F.filter(F.transform(col, at), lambda s: s["pos"] <= F.size(col) - SPAN)
+    Neighbouring words are zipped and exploded first, so that hashing is generated code on plain columns.
+    """
+    near = F.arrays_zip(*(F.slice(words, k + 1, F.size(words)) for k in range(SPAN)))
+    rows = rows.select(*keep, F.posexplode(near).alias("pos", "z")).where(F.col("z")[str(SPAN - 1)].isNotNull())
+    masked = [F.xxhash64(F.lit(n), *(F.col("z")[str(k)] for k, bit in enumerate(m) if bit == "1")) for n, m in enumerate(MASKS)]
+    return rows.select(*keep, "pos", F.explode(F.array(*masked)).alias("h"))
 
 
 def _agree(doc_words, item_words, shift):
@@ -47,10 +47,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) -
     """doc_id, th, item_id: each pair of a document and an item that overlap. docs: doc_id, text."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _word_hashes(F.col("text").cast("string")).alias("iw")).dropDuplicates()
     items = written(items.where(F.size("iw") >= SPAN), "items")
-    seeds = items.select("item_id", "iw", F.explode(_seeds("iw")).alias("s")).select("item_id", "iw", F.col("s.pos").alias("ipos"), F.explode("s.h").alias("h"))
+    seeds = _seeds(items, "iw", "item_id").withColumnRenamed("pos", "ipos")
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), _word_hashes(F.col("text")).alias("dw"))
-    spread = rows.select("doc_id", "th", F.explode(_seeds("dw")).alias("s")).select("doc_id", "th", "s.pos", F.explode("s.h").alias("h"))
+    spread = _seeds(rows, "dw", "doc_id", "th")
     # a benchmark of proven size goes to every task; a larger one is joined with a shuffle
     known = seeds.select("h", "item_id", "ipos")
     known = F.broadcast(known) if known.limit(broadcast + 1).count() <= broadcast else known.hint("merge")
