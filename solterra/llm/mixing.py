@@ -138,13 +138,14 @@ def descend(shares: DataFrame, domains: list[str], targets: dict[str, float | No
     if not now.sum():
         return []
     want = np.array([now[c] if targets.get(d) is None else targets[d] * now.sum() for c, d in enumerate(domains)])
-    weight = 1 / np.maximum(want, 0.02 * now.sum()) ** 2  # errors count relative to the target
-    root = np.sqrt(weight)
+    # errors count relative to a domain's tokens, which keeps the problem's eigenvalues within 1 of each other
+    weight = 1 / np.maximum(now, 1e-9 * now.sum())
+    root, total = np.sqrt(weight), now.sum()
     eta = 1 / np.linalg.eigvalsh(root[:, None] * _sum(shares, k, [], True) * root).max()
     steps: list[np.ndarray] = []
     for _ in range(STEPS):
         gap = now - want
-        if np.abs(gap * root).max() < 1e-4:
+        if np.abs(gap).max() < 1e-5 * total:
             break
         steps.append(eta * weight * gap)
         now = _sum(shares, k, steps)

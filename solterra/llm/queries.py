@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import decontamination, language_id, line_dedup, mixing, pii, quality
 from .common import documents
 from .ngram_join import ngram_join
+from .ngram_sql import SQL as NGRAM_SQL
 from .sharding import shard_by_bytes
 from .token_counts import token_counts
 from .token_output import token_output
@@ -76,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": NGRAM_SQL,
     "op3_decontamination": decontamination.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
