@@ -58,12 +58,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) -
     pairs = pairs.join(items, "item_id").withColumnsRenamed({"doc_id": "d", "th": "t"})
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     texts = texts.join(pairs.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    met = texts.select("doc_id", "th", "item_id", "iw", "shift", _word_hashes(F.col("text")).alias("dw"))
-    met = met.select("doc_id", "th", "item_id", "iw", _agree(F.col("dw"), F.col("iw"), F.col("shift")).alias("same"))
+    # the row numbers keep the optimizer from computing what stands before them once for each element
+    row = F.monotonically_increasing_id()
+    met = texts.select("doc_id", "th", "item_id", "iw", "shift", _word_hashes(F.col("text")).alias("dw"), row.alias("r1"))
+    met = met.select("doc_id", "th", "item_id", "iw", "r1", _agree(F.col("dw"), F.col("iw"), F.col("shift")).alias("same"), row.alias("r2"))
     width = F.least(F.size("iw"), F.lit(WINDOW))
     starts = F.sequence(F.lit(1), F.size("iw") - width + 1)
     best = F.array_max(F.transform(starts, lambda k: F.aggregate(F.slice("same", k, width), F.lit(0), lambda a, x: a + x)))
-    return met.where(best >= F.ceil(width * SHARE)).select("doc_id", "th", "item_id").distinct()
+    return met.where((F.col("r1") >= 0) & (F.col("r2") >= 0) & (best >= F.ceil(width * SHARE))).select("doc_id", "th", "item_id").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADCAST) -> DataFrame:
