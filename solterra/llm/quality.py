@@ -75,7 +75,9 @@ def _repeated(rows: DataFrame) -> DataFrame:
     """Adds n_repeat_words from the column words: words inside windows of REPEAT words that occur twice or more."""
     rows = rows.withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
     col = F.col("wh")
-    rows = rows.withColumn("wins", F.filter(F.transform(col, lambda x, i: F.when(i <= F.size(col) - REPEAT, F.xxhash64(x, *(F.get(col, i + k) for k in range(1, REPEAT))))), lambda h: h.isNotNull()))
+    # neighbours are zipped, so that a window is hashed as one struct
+    near = F.arrays_zip(*(F.slice(col, k + 1, F.size(col)) for k in range(REPEAT)))
+    rows = rows.withColumn("wins", F.transform(F.slice(near, F.lit(1), F.greatest(F.size(col) - (REPEAT - 1), F.lit(0))), lambda z: F.xxhash64(z)))
     wins = F.col("wins")
     placed = F.sort_array(F.transform(wins, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # most texts repeat nothing, and are not sorted
