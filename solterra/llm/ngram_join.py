@@ -31,7 +31,7 @@ HOT = 1 << 16
 REPORTED = 4
 #: Parts into which a pivot's rows are dealt.
 SALTS = 16
-ROUNDS = 4
+ROUNDS = 6
 
 
 def _hasher(n: int):
@@ -52,7 +52,7 @@ def _hasher(n: int):
         found = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not found:
             return np.zeros(0, np.uint64)
-        if len(words) > 400_000:
+        if len(words) > 200_000:
             words.clear()
         try:
             h = [words[w] for w in found]
@@ -111,7 +111,7 @@ def _sets(n: int):
                     seen.add(nodes[-1])
                     held.append(s)
             yield _batch(SET, np.zeros(len(sizes), np.int32), batch.column("doc_id"), sizes, nodes)
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 1_500_000:
                 yield frequent()
                 held.clear()
                 seen.clear()
@@ -142,7 +142,7 @@ def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray):
                 sizes.append(np.full(p, len(s), np.int32))
             if keys:
                 yield _batch(ENTRY, np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(sizes))
-            if len(seen) > 2_000_000:
+            if len(seen) > 200_000:
                 seen.clear()
 
     return run
@@ -253,7 +253,10 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     labels = None
     edges = None
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
+    # c columns of the prefixes in common bound the whole product from above
     need = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent))
+    rest = F.greatest(*(F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("n", "m")))
+    before = None
     for r in range(ROUNDS + 1):
         x = shared.withColumn("comp", F.col("node")) if labels is None else shared.join(labels.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
         x = written(x, "labelled")
@@ -262,7 +265,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         work, size = keys.agg(F.sum((F.col("rows") - F.col("top.k")) * F.col("rows"))).first()[0] or 0, x.count()
         if not work:
             break
-        last = work <= 4 * size or r == ROUNDS
+        last = work <= size // 4 or r == ROUNDS or (before is not None and work > 0.9 * before)
+        before = work
         if last:
             # all pairs across components: one of the two is outside the key's largest component
             side = x.join(keys.hint("merge"), "key").select("key", "node", "n", "comp", F.col("top.comp").alias("top"))
@@ -270,14 +274,14 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             other = side.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), (F.col("comp") != F.col("top")).alias("out_b"))
             pairs = out.join(other.hint("merge"), "key").where((F.col("comp") != F.col("comp_b")) & (~F.col("out_b") | (F.col("node") < F.col("b"))) & fits)
             pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), F.when(F.col("node") < F.col("b"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("node") < F.col("b"), F.col("m")).otherwise(F.col("n")).alias("m"), "key")
-            # the sum over the prefix columns bounds the whole product from above
-            rest = F.greatest(*(F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("n", "m")))
             pairs = pairs.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count_distinct("key").alias("c")).where(F.col("c") + rest >= need).select("a", "b")
         else:
             # one pivot for each column, by an order that gives the rows of a group the same few
             place = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n", "comp")
             pivots = x.join(keys.select("key").hint("merge"), "key", "left_semi").groupBy("key").agg(F.min(place).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.comp").alias("comp_a"))
-            pairs = x.join(pivots.hint("merge"), "key").where((F.col("comp") != F.col("comp_a")) & fits).select("a", F.col("node").alias("b")).distinct()
+            pairs = x.join(pivots.hint("merge"), "key").where((F.col("comp") != F.col("comp_a")) & fits).groupBy("a", F.col("node").alias("b")).agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"))
+            # columns with another pivot are not counted, so a pair may be put off to the last round
+            pairs = pairs.where(F.col("c") + rest >= need).select("a", "b")
         found = written(_multiply(pairs, texts, n, percent), "links")
         edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
         labels = components(edges)
