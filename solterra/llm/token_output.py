@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch
-from .tokens import Pieces
+from .common import most_frequent, scratch, written
+from .tokens import PLAIN_WORDS, Pieces
 
 MAGIC = b"RNS1"
 LANES = 512
@@ -28,6 +28,8 @@ EVERY = 64
 #: Tokens after which a frame is closed, at a document's end.
 TARGET = 1 << 18
 SCALE = 20
+#: Frequent chunks whose ids every task gets: about 25 MB in a Python worker.
+HOT = 1 << 17
 LOW = np.uint64(1 << 31)
 HEAD = "<4sBxHIIIIII"  # magic, scale, lanes, every, tokens, docs, words, crc of ids, crc of the body
 
@@ -146,28 +148,54 @@ def unpack(coder: Coder, frame: bytes) -> tuple[list[int | None], np.ndarray, np
     return [None if z else int(k) for k, z in zip(keys, nulls)], lengths, ids
 
 
-def _histogram(path: str, end_id: int):
+def _chunks(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces.load(path)
-        total, seen = np.zeros(max(pieces.vocab_size, end_id + 1) + 1, np.int64), Counter()
+        pieces, seen = Pieces.load(path), Counter()
 
-        def flush():
-            words = list(seen)
-            for lo in range(0, len(words), 20_000):
-                ids = pieces.ids(words[lo : lo + 20_000])
-                weight = np.repeat([seen[w] for w in words[lo : lo + 20_000]], [len(x) for x in ids])
-                np.add.at(total, np.array([i for x in ids for i in x], np.int64), weight)
-            seen.clear()
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["chunk", "n"])
 
         for batch in batches:
-            total[end_id] += batch.num_rows
             for text in batch.column("text"):
-                words, found = pieces.of(text.as_py())
-                seen.update(words)
-                for _, i in found:
-                    total[i] += 1
-                if len(seen) > 400_000:
-                    flush()
+                text = text.as_py()
+                chunks = pieces.chunks_of(text)
+                if chunks is None:
+                    words, found = pieces.of(text)
+                    names = {i: s for s, i in pieces.special.items()}
+                    chunks = [*words, *(names[i] for _, i in found)]
+                seen.update(chunks)
+                if len(seen) > 600_000:
+                    yield out()
+                    seen.clear()
+        yield out()
+
+    return run
+
+
+def _histogram(path: str):
+    def run(batches):
+        pieces, total, words = Pieces.load(path), np.zeros(1, np.int64), Counter()
+
+        def flush():
+            nonlocal total
+            ids = pieces.ids(list(words))
+            weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in ids])
+            more = np.bincount([i for x in ids for i in x], weight, minlength=len(total)).astype(np.int64)
+            more[: len(total)] += total
+            total = more
+            words.clear()
+
+        for batch in batches:
+            for chunk, n in zip(batch.column("chunk").to_pylist(), batch.column("n").to_pylist()):
+                if chunk in pieces.special:
+                    k = pieces.special[chunk]
+                    total = np.pad(total, (0, max(0, k + 1 - len(total))))
+                    total[k] += n
+                else:
+                    for w in pieces.of(chunk)[0] if pieces.chunks_of(chunk) is None else PLAIN_WORDS.findall(chunk.lower()):
+                        words[w] += n
+            if len(words) > 200_000:
+                flush()
         flush()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
@@ -175,7 +203,16 @@ def _histogram(path: str, end_id: int):
     return run
 
 
-def _frames(path: str, end_id: int, freq: np.ndarray):
+def _ids_of_chunks(path: str):
+    def run(batches):
+        pieces = Pieces.load(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(pieces._encode(batch.column("chunk").to_pylist()), pa.binary())], ["chunk", "ids"])
+
+    return run
+
+
+def _frames(path: str, end_id: int, freq: np.ndarray, hot: dict[str, bytes]):
     def run(batches):
         from pyspark import TaskContext
 
@@ -195,8 +232,8 @@ def _frames(path: str, end_id: int, freq: np.ndarray):
 
         for batch in batches:
             docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for lo in range(0, len(docs), 256):
-                for doc, ids in zip(docs[lo : lo + 256], pieces.encode_many(texts[lo : lo + 256].to_pylist())):
+            for lo in range(0, len(docs), 1000):
+                for doc, ids in zip(docs[lo : lo + 1000], pieces.encode_many(texts[lo : lo + 1000].to_pylist(), hot)):
                     keys.append(doc)
                     held += (ids, end)
                     lengths.append(len(ids) // 4 + 1)
@@ -232,20 +269,24 @@ def write_tokens(docs: DataFrame, out: str, path: str, end_id: int) -> None:
     """Writes the store: ids of every whole text (null: empty) with end_id after each, in ascending doc_id.
 
     Null doc_ids come first; rows with the same doc_id stand in order of their text. The frequency table
-    counts every token of the corpus: tasks count pre-tokens, so the driver gets one row for each token
-    of the vocabulary at most.
+    counts every token of the corpus: runs without white space are counted, and each distinct one is
+    encoded once. The driver gets one row for each token of the vocabulary at most.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = rows.select("text").mapInArrow(_histogram(path, end_id), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    chunks = rows.select("text").mapInArrow(_chunks(path), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
+    chunks = written(chunks, "chunks")
+    hot = {r["chunk"]: bytes(r["ids"]) for r in most_frequent(chunks, "n", HOT).select("chunk").mapInArrow(_ids_of_chunks(path), "chunk string, ids binary").collect()}
+    counted = chunks.mapInArrow(_histogram(path), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([end_id, *(r["token"] for r in counted)]) + 1, np.int64)
     for r in counted:
         counts[r["token"]] = r["n"]
+    counts[end_id] += rows.count()
     freq = normalised(counts)
     used = np.flatnonzero(freq)
     spark.createDataFrame(list(zip(used.tolist(), freq[used].tolist())), "token long, freq long").coalesce(1).write.parquet(f"{out}/table")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_frames(path, end_id, freq), "part long, block long, start_in_part long, n_tokens long, n_docs long, frame binary").write.parquet(f"{out}/frames")
+    ordered.mapInArrow(_frames(path, end_id, freq, hot), "part long, block long, start_in_part long, n_tokens long, n_docs long, frame binary").write.parquet(f"{out}/frames")
 
 
 def read_frequencies(spark: SparkSession, out: str) -> np.ndarray:

@@ -13,7 +13,7 @@ PLAIN = re.compile("[\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa0-\\xb1\\xb4-\\xb8\\xba\\
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
 
-CACHED = 500_000
+CACHED = 300_000
 
 
 class Pieces:
@@ -42,6 +42,10 @@ class Pieces:
         self.spaced = (pre[0].get("pattern") or {}).get("Regex") == WORD_PATTERN and pre[0].get("invert") and pre[0].get("behavior") == "Removed" and [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.vocab_size = self.tok.get_vocab_size()
         self.cache: dict[str, bytes] = {}
+        # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in own]
+        self.byte = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
     @staticmethod
     def load(path: str) -> "Pieces":
@@ -76,23 +80,10 @@ class Pieces:
 
     def ids(self, words: list[str]) -> list[list[int]]:
         """Ids of each distinct pre-token, each as if it stood alone."""
-        if not words:
-            return []
-        if self.spaced:
-            out: list[list[int]] = []
-            for lo in range(0, len(words), 2000):
-                part = words[lo : lo + 2000]
-                enc = self.tok.encode(" ".join(part), add_special_tokens=False)
-                got: list[list[int]] = []
-                last = None
-                for i, w in zip(enc.ids, enc.word_ids):
-                    if w != last:
-                        got.append([])
-                        last = w
-                    got[-1].append(i)
-                out += got if len(got) == len(part) else [e.ids for e in self.tok.encode_batch(part, add_special_tokens=False)]
-            return out
-        return [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)]
+        if not self.spaced:
+            return [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)] if words else []
+        tokenize, byte = self.tok.model.tokenize, self.byte
+        return [[t.id for t in tokenize(w if w.isascii() else "".join([byte[b] for b in w.encode()]))] for w in words]
 
     def learn(self, words) -> None:
         """Put the ids of new pre-tokens into the bounded cache, as little-endian uint32."""
@@ -102,8 +93,15 @@ class Pieces:
         for w, ids in zip(new, self.ids(new)):
             self.cache[w] = array("I", ids).tobytes()
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of whole texts as little-endian uint32 bytes."""
+    def chunks_of(self, text: str | None) -> list[str] | None:
+        """Runs without white space, across which no pre-token reaches; None where the text needs the library."""
+        if not text:
+            return []
+        if self.spaced and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return text.split()
+        return None
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.of(t) for t in texts]
         self.learn(set().union(*(w for w, _ in cut)))
         get = self.cache.__getitem__
@@ -119,3 +117,18 @@ class Pieces:
                 at = place
             out.append(b"".join([*parts, *map(get, words[at:])]))
         return out
+
+    def encode_many(self, texts: list[str | None], hot: dict[str, bytes]) -> list[bytes]:
+        """Ids of whole texts as little-endian uint32 bytes. hot: frequent chunks and their ids; it is left as it was."""
+        cut = [self.chunks_of(t) for t in texts]
+        new = set().union(*(c for c in cut if c)) - hot.keys()
+        split = [PLAIN_WORDS.findall(c.lower()) for c in new]
+        self.learn({w for words in split for w in words})
+        one = self.cache.__getitem__
+        hot.update(zip(new, [b"".join(map(one, words)) for words in split]))
+        odd = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
+        get = hot.__getitem__
+        out = [next(odd) if c is None else b"".join(map(get, c)) for c in cut]
+        for c in new:
+            del hot[c]
+        return out
