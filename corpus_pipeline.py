@@ -21,7 +21,8 @@ def _by_id(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return _by_id(docs, quality(docs).where("kept"))
+    # written first: a filter pushed into the rules would evaluate them again and again
+    return _by_id(docs, written(quality(docs).select("doc_id", "kept"), "verdicts").where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
