@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, words_of, written
 
-#: Windows of so many words that occur twice or more are repeats.
+#: Windows of so many words (a power of two) that occur twice or more are repeats.
 REPEAT = 8
 #: Common words in a language's reference; languages that get one of their own, the most frequent ones.
 COMMON, LANGUAGES = 20, 64
@@ -28,10 +28,13 @@ def _columns(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("t"))
     rows = rows.select("*", F.length("t").alias("n"), F.regexp_replace("t", "\\p{L}+", "").alias("rest"), F.regexp_replace(F.lower("t"), "[^\\p{L}]+", " ").alias("letters"))
 
-    def without(chars: str):
-        return (F.length("rest") - F.length(F.translate("rest", chars, ""))).cast("long")
-
-    rows = rows.select("*", (F.col("n") - F.length("rest")).alias("n_letters"), (F.col("n") - F.length(F.regexp_replace("t", "\\p{Lu}+", ""))).alias("upper"), without("0123456789").alias("digit"), without(SPACES).alias("space"), without(POINTS).alias("point"), without(SYMBOLS).alias("symbol"))
+    # each class is taken out of what the others left, the most frequent first, so that later ones read little
+    last, taken = "rest", []
+    for name, chars in (("space", SPACES), ("point", POINTS), ("digit", "0123456789"), ("symbol", SYMBOLS)):
+        rows = rows.withColumn(f"no_{name}", F.translate(last, chars, ""))
+        taken.append((F.length(last) - F.length(f"no_{name}")).cast("long").alias(name))
+        last = f"no_{name}"
+    rows = rows.select("*", (F.col("n") - F.length("rest")).alias("n_letters"), (F.col("n") - F.length(F.regexp_replace("t", "\\p{Lu}+", ""))).alias("upper"), *taken)
     rows = rows.withColumn("lower", F.col("n_letters") - F.col("upper")).withColumn("other", F.col("n") - F.col("n_letters") - F.col("digit") - F.col("space") - F.col("point") - F.col("symbol"))
     return rows.select("doc_id", "lang", "t", "n", "letters", "space", "symbol", F.array(*(F.col(c).cast("double") for c in CLASSES)).alias("classes"))
 
@@ -74,11 +77,11 @@ def _distance(p, q):
 def _repeated(rows: DataFrame) -> DataFrame:
     """Adds n_repeat_words from the column words: words inside windows of REPEAT words that occur twice or more."""
     rows = rows.withColumn("wh", F.transform("words", lambda w: F.xxhash64(w)))
-    col = F.col("wh")
-    # neighbours are zipped, so that a window is hashed as one struct
-    near = F.arrays_zip(*(F.slice(col, k + 1, F.size(col)) for k in range(REPEAT)))
-    rows = rows.withColumn("wins", F.transform(F.slice(near, F.lit(1), F.greatest(F.size(col) - (REPEAT - 1), F.lit(0))), lambda z: F.xxhash64(z)))
-    wins = F.col("wins")
+    # windows double: a hash of two neighbours of half the width
+    wins, width = F.col("wh"), 1
+    while width < REPEAT:
+        rows = rows.withColumn("wins", F.zip_with(F.slice(wins, F.lit(1), F.greatest(F.size(wins) - width, F.lit(0))), F.slice(wins, width + 1, F.size(wins)), lambda a, b: F.xxhash64(a, b)))
+        wins, width = F.col("wins"), 2 * width
     placed = F.sort_array(F.transform(wins, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # most texts repeat nothing, and are not sorted
     rows = rows.withColumn("placed", F.when(F.size(F.array_distinct(wins)) < F.size(wins), placed))
@@ -107,10 +110,11 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = M
     # LANGUAGES + 1 rows: a bound that no input changes
     known = [r["lang"] for r in ref.select("lang").collect()]
     rows = rows.withColumn("lang", F.when(F.col("lang").isin(known), F.col("lang")).otherwise("")) if known else rows.withColumn("lang", F.lit(""))
-    rows = rows.join(F.broadcast(ref), "lang", "left")
-    at = F.filter(F.transform(F.split("letters", " "), lambda w: F.when(w != "", F.array_position("common", w)).otherwise(-1)), lambda k: k >= 0)
+    # the list is made before the join: after it, it would be made again for each word
+    rows = rows.join(F.broadcast(ref.withColumn("listed", F.array_join("common", ","))), "lang", "left")
     # one character for each word: its place among the common ones, or the one for all others
-    code = F.array_join(F.transform(at, lambda k: F.chr(k + 64)), "")
+    words = F.trim("letters")
+    code = F.when(words != "", F.array_join(F.transform(F.split(words, " "), lambda w: F.chr(F.find_in_set(w, F.col("listed")) + 64)), "")).otherwise("")
     rows = rows.withColumn("code", F.when((F.col("n_words") >= GUARD_WORDS) & F.col("common").isNotNull(), code))
     size = F.length("code")
     hits = F.transform(F.sequence(F.lit(1), F.size("common")), lambda k: F.try_divide(size - F.length(F.replace(F.col("code"), F.chr(k + 64), F.lit(""))), size))
