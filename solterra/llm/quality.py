@@ -125,4 +125,5 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = M
     rows = rows.withColumn("class_distance", F.when(long, _distance(F.transform("classes", lambda x: F.try_divide(x, total)), F.col("ref_classes")))).withColumn("common_distance", F.when(long & F.col("hits").isNotNull(), _distance(hits, F.col("ref_common"))))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = (F.coalesce("class_distance", F.lit(0.0)) >= max_class) | (F.coalesce("common_distance", F.lit(0.0)) >= max_common)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "common_distance")
+    # written, for a reader's filter pushed into the rules would evaluate them many times over
+    return written(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "common_distance"), "verdicts")
