@@ -19,42 +19,111 @@ from .common import written
 
 #: Labelled documents the classifier is fitted on at most, those with the smallest hashes of their doc_id; domains.
 SAMPLE, DOMAINS = 6000, 32
-BUCKETS = 1 << 16
 STEPS = 60
+#: A feature is a word or its first k letters; one of fewer than LEAST fitted documents says nothing about others.
+BEGINNINGS, LEAST = (3, 4, 5, 6), 5
+#: Features for each domain and weight decay, of which cross-validation takes a pair.
+CHOICES = [(n, decay) for n in (32, 128, 512) for decay in (1e-4, 1e-3)]
+FOLDS, FIT_STEPS = 5, 150
 
 
-def _features():
-    import sys
-
+def _hashes(word: str) -> list[int]:
+    """A word's features. It stands for itself without the signs around it."""
     import xxhash
 
-    known = sys.__dict__.setdefault("_solterra_buckets", {})
-
-    def of(text: str | None) -> tuple[np.ndarray, int]:
-        words = (text or "").lower().split()
-        distinct = set(words)
-        if len(known) > 400_000:
-            known.clear()
-        for w in distinct:
-            if w not in known:
-                # a word stands for itself without the signs around it, too
-                known[w] = xxhash.xxh32_intdigest(w.strip(".,;:!?'\"()") or w) % BUCKETS
-        return np.unique(np.fromiter((known[w] for w in distinct), np.int64, len(distinct))), len(words)
-
-    return of
+    a, b = 0, len(word)
+    while a < b and not word[a].isalnum():
+        a += 1
+    while b > a and not word[b - 1].isalnum():
+        b -= 1
+    word = word[a:b] or word
+    return [xxhash.xxh32_intdigest(word), *(xxhash.xxh32_intdigest(word[:k], k) for k in BEGINNINGS if len(word) > k)]
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    features = _features()
     for batch in batches:
-        got = [features(t.as_py())[0].astype("<u2").tobytes() for t in batch.column("text")]
+        got = []
+        for t in batch.column("text"):
+            found = {h for w in set((t.as_py() or "").lower().split()) for h in _hashes(w)}
+            got.append(np.sort(np.fromiter(found, "<u4", len(found))).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("domain"), pa.array(got, pa.binary())], ["domain", "x"])
 
 
-def fit(docs: DataFrame, labelled: DataFrame, steps: int = 120) -> tuple[list[str], np.ndarray]:
-    """Domains and the weights (domains x buckets + 1) of a softmax regression on the words that occur.
-
-    labelled: doc_id, domain. Fitted on SAMPLE labelled documents at most.
+def _softmax(z: np.ndarray) -> np.ndarray:
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    return p / p.sum(axis=1, keepdims=True)
+
+
+class _Labelled:
+    """Documents as sets of features, with their domains' numbers."""
+
+    def __init__(self, xs: list[np.ndarray], y: np.ndarray, k: int):
+        self.y, self.k = y, k
+        self.row = np.repeat(np.arange(len(xs), dtype=np.int32), [len(x) for x in xs])
+        self.known, at = np.unique(np.concatenate(xs), return_inverse=True)
+        self.at = at.astype(np.int32)
+        # copies have the same outermost hashes and stand in one fold
+        self.fold = np.array([(int(x[0]) * 31 + int(x[-1])) % FOLDS if len(x) else 0 for x in xs])
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """features x domains: the chosen documents that have the feature."""
+        return np.stack([np.bincount(self.at[(rows & (self.y == c))[self.row]], minlength=len(self.known)) for c in range(self.k)], axis=1).astype(float)
+
+    def select(self, counts: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+        """The features that tell a domain from the others best by the likelihood ratio, at most so many for each domain."""
+        able = np.flatnonzero(counts.sum(axis=1) >= LEAST)
+        n, total = counts[able].sum(axis=1), sizes.sum()
+        chosen = []
+        for c, size in enumerate(sizes):
+            both = counts[able, c]
+            g = np.zeros(len(able))
+            for seen, a, b in ((both, n, size), (n - both, n, total - size), (size - both, total - n, size), (total - n - size + both, total - n, total - size)):
+                g += seen * np.log(np.maximum(seen, 1e-9) / np.maximum(a * b / total, 1e-9))
+            chosen.append(able[np.argsort(-g, kind="stable")[:most]])
+        return np.unique(np.concatenate(chosen))
+
+    def matrix(self, chosen: np.ndarray) -> np.ndarray:
+        place = np.full(len(self.known), -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        to = place[self.at]
+        out = np.zeros((len(self.y), len(chosen) + 1), np.float32)
+        out[self.row[to >= 0], to[to >= 0]] = 1
+        out[:, -1] = 1
+        return out
+
+    def fitted(self, x: np.ndarray, y: np.ndarray, decay: float) -> np.ndarray:
+        w = np.zeros((x.shape[1], self.k), np.float32)
+        m, v, target = np.zeros_like(w), np.zeros_like(w), np.eye(self.k, dtype=np.float32)[y]
+        shrink = np.full((len(w), 1), decay, np.float32)
+        shrink[-1] = 0
+        for k in range(1, FIT_STEPS + 1):
+            g = x.T @ ((_softmax(x @ w) - target) / len(x)) + shrink * w
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w -= 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        return w
+
+    def best(self) -> tuple[int, float]:
+        """The choice with the least log loss on documents that its fit did not see."""
+        loss = dict.fromkeys(CHOICES, 0.0)
+        every = self.counts(np.ones(len(self.y), bool))
+        for f in np.unique(self.fold):
+            out = self.fold == f
+            seen, sizes = every - self.counts(out), np.bincount(self.y[~out], minlength=self.k).astype(float)
+            for most in dict.fromkeys(n for n, _ in CHOICES):
+                if out.all():
+                    break
+                x = self.matrix(self.select(seen, sizes, most))
+                for choice in (c for c in CHOICES if c[0] == most):
+                    p = _softmax(x[out] @ self.fitted(x[~out], self.y[~out], choice[1]))
+                    loss[choice] -= np.log(np.maximum(p[np.arange(len(p)), self.y[out]], 1e-9)).sum()
+        return min(CHOICES, key=lambda c: loss[c])
+
+
+def fit(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Domains, features and weights (domains x features + 1) of a softmax regression on the features that occur.
+
+    labelled: doc_id, domain. Fitted on SAMPLE labelled documents at most; the number of features and the
+    weight decay are those of CHOICES that do best on held-out ones.
     """
     names = labelled.where("domain IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).dropDuplicates(["doc_id"])
     sample = names.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -63,42 +132,60 @@ def fit(docs: DataFrame, labelled: DataFrame, steps: int = 120) -> tuple[list[st
     domains = sorted({d for d, _ in got})
     if len(domains) > DOMAINS:
         raise ValueError(f"more than {DOMAINS} domains")
-    w = np.zeros((len(domains), BUCKETS + 1))
     if len(domains) < 2:
-        return domains, w
-    sizes = np.array([len(x) // 2 for _, x in got])
-    at = np.frombuffer(b"".join(x for _, x in got), "<u2").astype(np.int64)
-    row = np.repeat(np.arange(len(got)), sizes)
-    scale = 1 / np.sqrt(np.maximum(sizes, 1))
+        return domains, np.zeros(0, np.uint32), np.zeros((len(domains), 1))
     y = np.array([domains.index(d) for d, _ in got])
-    target = np.eye(len(domains))[y]
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for k in range(1, steps + 1):
-        z = np.stack([np.bincount(row, c[at], minlength=len(got)) * scale + c[-1] for c in w], axis=1)
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        err = (p / p.sum(axis=1, keepdims=True) - target) / len(got)
-        g = np.stack([np.append(np.bincount(at, (err[:, c] * scale)[row], minlength=BUCKETS), err[:, c].sum()) for c in range(len(domains))]) + 1e-7 * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.3 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    return domains, w
+    seen = _Labelled([np.frombuffer(x, "<u4") for _, x in got], y, len(domains))
+    most, decay = seen.best()
+    chosen = seen.select(seen.counts(np.ones(len(y), bool)), np.bincount(y).astype(float), most)
+    w = seen.fitted(seen.matrix(chosen), y, decay)
+    return domains, seen.known[chosen], w.T.astype(float)
+
+
+def _scorer(known: np.ndarray, w: np.ndarray):
+    """A function of a text: its shares and its words."""
+    import sys
+
+    # the features of words already met stay in the worker while the fit is the same
+    key = hash((known.tobytes(), w.tobytes()))
+    if sys.__dict__.get("_solterra_words", (None,))[0] != key:
+        sys.__dict__["_solterra_words"] = (key, {})
+    met, at = sys.__dict__["_solterra_words"][1], {int(h): k for k, h in enumerate(known)}
+
+    def of(text: str | None) -> tuple[np.ndarray, int]:
+        words = (text or "").lower().split()
+        if len(met) > 400_000:
+            met.clear()
+        found = {len(known)}
+        for word in set(words):
+            if word not in met:
+                met[word] = tuple(at[h] for h in _hashes(word) if h in at)
+            found.update(met[word])
+        z = w[:, sorted(found)].sum(axis=1)
+        p = np.exp(z - z.max())
+        return p / p.sum(), len(words)
+
+    return of
 
 
-def _shares(w: np.ndarray, steps: list[np.ndarray] | None, copies: bool):
-    """shares and tokens of each row; with steps, also its rate; with copies, whole rows as often as that rounds to."""
+def _shares(known: np.ndarray, w: np.ndarray, steps: list[np.ndarray] | None, copies: bool):
+    """shares and tokens of each row; with copies, whole rows, whose numbers are their rates on the average."""
 
     def run(batches):
-        features = _features()
+        import xxhash
+
+        score = _scorer(known, w)
         for batch in batches:
             tokens, share = [], []
             for text in batch.column("text"):
-                x, n = features(text.as_py())
-                z = w[:, x].sum(axis=1) / np.sqrt(max(len(x), 1)) + w[:, -1]
-                p = np.exp(z - z.max())
-                share.append(p / p.sum())
+                p, n = score(text.as_py())
+                share.append(p)
                 tokens.append(n)
             p = np.array(share).reshape(len(tokens), len(w))
             if copies:
-                yield batch.take(pa.array(np.repeat(np.arange(len(tokens)), np.floor(rates(p, steps) + 0.5).astype(int))))
+                drawn = [xxhash.xxh64_intdigest(f"{d.as_py()} {t.as_py()}".encode("utf-8", "surrogatepass")) >> 11 for d, t in zip(batch.column("doc_id"), batch.column("text"))]
+                times = np.floor(rates(p, steps) + np.array(drawn, float) / 2.0**53).astype(int)
+                yield batch.take(pa.array(np.repeat(np.arange(len(tokens)), times)))
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "shares"])
 
@@ -162,12 +249,12 @@ def _rated(k: int, steps: list[np.ndarray]):
 
 
 def _prepared(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | None]):
-    domains, w = fit(docs, labelled)
+    domains, known, w = fit(docs, labelled)
     if not domains:
-        domains, w = ["all"], np.zeros((1, BUCKETS + 1))
+        domains, w = ["all"], np.zeros((1, 1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shares = written(rows.mapInArrow(_shares(w, None, False), "doc_id long, n_tokens long, shares array<double>"), "shares")
-    return domains, w, shares, descend(shares, domains, targets)
+    shares = written(rows.mapInArrow(_shares(known, w, None, False), "doc_id long, n_tokens long, shares array<double>"), "shares")
+    return domains, known, w, shares, descend(shares, domains, targets)
 
 
 def mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | None]) -> DataFrame:
@@ -176,16 +263,19 @@ def mixing(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | None
     labelled: doc_id, domain. Null and empty texts have 0 tokens and the classifier's prior; without labels all
     documents are in one domain and keep rate 1. Rows with equal texts get equal rates.
     """
-    domains, _, shares, steps = _prepared(docs, labelled, targets)
+    domains, _, _, shares, steps = _prepared(docs, labelled, targets)
     best = F.array_max("shares")
     name = F.element_at(F.array(*map(F.lit, domains)), F.array_position("shares", best).cast("int"))
     return shares.mapInArrow(_rated(len(domains), steps), "doc_id long, n_tokens long, shares array<double>, rate double").select("doc_id", "n_tokens", F.round("rate", 9).alias("rate"), name.alias("domain"), F.round(best, 9).alias("share"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | None]) -> DataFrame:
-    """docs, all columns, each row as often as its rate rounds to (0: gone)."""
-    _, w, _, steps = _prepared(docs, labelled, targets)
-    return docs.mapInArrow(_shares(w, steps, True), docs.schema)
+    """docs, all columns, each row as often as its rate says (0: gone).
+
+    A fraction is a chance, drawn by a hash of doc_id and text, so that the targets hold on the average; rows equal in both get the same.
+    """
+    _, known, w, _, steps = _prepared(docs, labelled, targets)
+    return docs.mapInArrow(_shares(known, w, steps, True), docs.schema)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

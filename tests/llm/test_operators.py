@@ -178,6 +178,29 @@ def test_mixing_meets_targets_and_removes_toxic(spark):
     assert {k for k, d, _ in made if d != "toxic"} == set(kept) and set(kept.values()) == {1}
 
 
+def test_mixing_finds_toxic_rows_that_the_fit_never_saw(spark):
+    """Unlabelled documents with plain insults go, nearly all others stay."""
+    insults = "trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron"
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    unseen = docs.join(labels, "doc_id", "left_anti").where("doc_id IS NOT NULL").select("doc_id", F.lower("text").rlike(rf"\b({insults})\b").alias("toxic")).collect()
+    kept = {r["doc_id"] for r in mixing.mix(docs, mixing.label_domains(labels), {"toxic": 0.0}).select("doc_id").collect()}
+    toxic, clean = [r["doc_id"] for r in unseen if r["toxic"]], [r["doc_id"] for r in unseen if not r["toxic"]]
+    assert len(toxic) > 300 and sum(k in kept for k in toxic) < 0.03 * len(toxic)
+    # of those without an insult, many of the toxic ones in other languages go too
+    assert sum(k not in kept for k in clean) < 0.1 * len(clean)
+
+
+def test_mixing_realises_fractional_rates(spark):
+    rng = random.Random(4)
+    kinds = {"high": "good fine clear", "low": "spam click buy"}
+    made = [(k, d, " ".join(rng.choice((kinds[d] + " the of and to in").split()) for _ in range(100))) for k in range(1000) for d in [("high", "low")[k % 2]]]
+    docs = spark.createDataFrame([(k, t) for k, _, t in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, d) for k, d, _ in made if k % 3], "doc_id long, domain string")
+    low = sum(r["doc_id"] % 2 for r in mixing.mix(docs, labels, {"low": 0.15}).collect())
+    assert 100 < low < 200  # 0.3 of 500
+
+
 def test_mixing_odd_tables(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, domain string")
     assert {r["rate"] for r in mixing.mixing(docs, none, {}).collect()} == {1.0}
