@@ -1,6 +1,8 @@
 """Each operator against brute force, exact round trips or held-out accuracy, on small tables with odd rows."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -161,6 +163,20 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contamination(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_masks_reach_every_overlap_that_counts():
+    masks = [[k for k, bit in enumerate(m) if bit == "1"] for m in decontamination.MASKS]
+    for n in range(decontamination.SPAN, decontamination.WINDOW + 1):
+        for missing in itertools.combinations(range(n), n - math.ceil(n * decontamination.SHARE)):
+            assert any(not {s + k for k in m} & set(missing) for m in masks for s in range(n - m[-1])), (n, missing)
+
+
+def test_decontamination_with_every_fourth_word_changed(spark):
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (8, 9, 13, 15, 30, 59)]
+    changed = [(n, "so " + " ".join(w if (k + 1) % 4 else "x" for k, w in enumerate(t.split())) + " it ends") for n, t in items]
+    got = decontamination.contamination(spark.createDataFrame(changed, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r["doc_id"]: list(r["items"]) for r in got} == {n: [n] for n, _ in items}
+
+
 def test_mixing_meets_targets_and_removes_toxic(spark):
     rng = random.Random(1)
     kinds = {"high": "good fine clear", "low": "spam click buy", "toxic": "scum trash moron"}
