@@ -11,6 +11,11 @@ from .common import written
 OVERHEAD = 16
 
 
+def shard_of(begin, n_shards: int, total: int):
+    """Column: floor(begin * n_shards / total), in whole numbers, as a quotient of decimals is rounded before floor."""
+    return F.call_function("div", begin.cast("decimal(20,0)") * F.lit(n_shards).cast("decimal(18,0)"), F.lit(max(1, total)).cast("decimal(20,0)")).cast("int")
+
+
 def shard_by_bytes(docs: DataFrame, n_shards: int) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: contiguous shards of near equal bytes.
 
@@ -37,7 +42,7 @@ def shard_by_bytes(docs: DataFrame, n_shards: int) -> DataFrame:
     in_part = Window.partitionBy("part").orderBy(*order)
     summed = ranged.withColumn("b", F.sum("size").over(in_part.rowsBetween(Window.unboundedPreceding, -1))).withColumn("n", F.row_number().over(in_part) - 1)
     placed = summed.join(offsets, "part").select("doc_id", "size", "text_crc32", (F.coalesce("b", F.lit(0)) + F.col("b0")).alias("b"), (F.col("n") + F.col("n0")).alias("n"))
-    shard = F.floor(F.col("b").cast("decimal(30,0)") * n_shards / F.lit(max(1, total_b)).cast("decimal(30,0)")).cast("int")
+    shard = shard_of(F.col("b"), n_shards, total_b)
     placed = written(placed.select("doc_id", "size", "text_crc32", shard.alias("shard"), "n"), "placed")
     first = placed.groupBy("shard").agg(F.min("n").alias("n_first"))  # n_shards rows
     return placed.join(F.broadcast(first), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("n") - F.col("n_first")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

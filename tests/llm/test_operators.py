@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from solterra.llm import decontamination, language_id, line_dedup, mixing, pii, quality, token_output
 from solterra.llm.ngram_join import ngram_join
 from solterra.llm.queries import tokenizer_path
-from solterra.llm.sharding import shard_by_bytes
+from solterra.llm.sharding import shard_by_bytes, shard_of
 from solterra.llm.token_counts import token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, row long"
@@ -148,6 +148,13 @@ def test_sharding(docs, rows, empty):
     assert shard_by_bytes(empty, 5).count() == 0
 
 
+def test_shards_of_large_tables_are_cut_exactly(spark):
+    for total in (2 * 10**9, 3 * 10**10, 7 * 10**15):
+        begins = [0, total - 16, total - 1, *(k * total // 40 + e for k in range(1, 40) for e in (-1, 0, 1))]
+        rows = spark.createDataFrame([(b,) for b in begins], "b long").select("b", shard_of(F.col("b"), 40, total).alias("s")).collect()
+        assert all(r["s"] == r["b"] * 40 // total for r in rows)
+
+
 def test_decontamination(spark, docs, empty):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lamda mu nu xi omicron"
     changed = item.replace("delta", "x").replace("kappa", "y")
