@@ -83,7 +83,7 @@ class Pieces:
         if not self.spaced:
             return [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)] if words else []
         tokenize, byte = self.tok.model.tokenize, self.byte
-        return [[t.id for t in tokenize(w if w.isascii() else "".join([byte[b] for b in w.encode()]))] for w in words]
+        return [[t.id for t in tokenize(w if w.isascii() and w.isprintable() else "".join([byte[b] for b in w.encode()]))] for w in words]
 
     def learn(self, words) -> None:
         """Put the ids of new pre-tokens into the bounded cache, as little-endian uint32."""
