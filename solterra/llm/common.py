@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,17 +17,24 @@ SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 _own_folder: list[str] = []
 
 
+def _base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="solterra-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return f"file://{_own_folder[0]}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, the folder that driver and executors share.
 
-    Only where that setting is absent (tests, one machine) a temporary folder takes its place.
+    Without that setting a cluster is refused; on a single machine (tests) a temporary folder takes its place.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="solterra-"))
-        base = f"file://{_own_folder[0]}"
-    return f"{base.rstrip('/')}/solterra/{name}-{uuid.uuid4().hex}"
+    return f"{_base(spark)}/solterra/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,10 +45,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Written tables of one computation, removed together once its result is written."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, scratch(spark, name), 0
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        path = f"{self.path}/{self.made}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """df written elsewhere; the other tables go."""
+        df = written(df, name)
+        remove(self.spark, self.path)
+        return df
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by Hadoop's file system of its path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores after it: one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(text):
     """Column: the words `[^\\x20\\x09-\\x0D]+` of a text (null: none)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RUN, -1), lambda w: w != "")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 
 #: Fixed masks: 1 keeps a word, 0 ignores it. Every choice of 3 of 13 words that differ, and of as many as SHARE allows
 #: in items of SPAN to 12 words, leaves a place for one of them (the tests go through all).
@@ -87,10 +87,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, broadcast: int = BROADC
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that overlap an item of the benchmark."""
+    """docs, all columns, without the rows that overlap an item of the benchmark.
+
+    Null and empty texts stay, as does everything if the benchmark is empty; repeated rows stay or go together.
+    """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = matches(plain, benchmark).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct()
-    return docs.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_t")), "left_anti")
+    d, t = free_name(docs, "d"), free_name(docs, "t")
+    found = matches(plain, benchmark).select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct()
+    return docs.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)), "left_anti")
 
 
 # The SQL still asks for a hit of the masks that stood here before, and so finds less than the operator.

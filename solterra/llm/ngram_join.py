@@ -1,75 +1,40 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-Rows of the matrix are the distinct n-gram sets, columns the n-grams' 64-bit hashes. A pair with Jaccard
-similarity t or more must meet in the first n - ceil(t n) + 1 columns of both rows under any one order of the
-columns (Bayardo et al. 2007); the order here puts frequent columns last. Only these prefix columns
-are dealt out, and those with one row are dropped: what is left is the block of columns that
-can bear a link. Products are summed in it, pairs that the sizes rule out are discarded, and the
-remaining columns of the pairs left are multiplied row against block of rows.
-
-Components need no more than a spanning set of links. So a column's rows are first multiplied with one row
-of it, a pivot, and rows found linked become one component. Then all pairs of rows that meet in a column and
-are in different components are multiplied. No link between components is lost, and groups of near copies
-cost a product for each row and pivot, not for each pair.
+Rows of the matrix are the distinct n-gram sets, columns the n-grams' 64-bit hashes, in one order that puts
+frequent ones last. A pair whose similarity reaches the bound has so large a product that it must meet within the
+first n - ceil(t n) + 1 columns of both rows (Bayardo et al. 2007), the prefixes. Columns in which a single
+prefix stands bear no link and are dropped. What the rows have after their prefixes bounds what they can add there,
+so a pair needs at least `need` products within the prefixes: it must meet `need` places before the end of what
+is left of both prefixes, which rules out most rows of a frequent column by their sizes alone.
+
+Components need no more than a spanning set of links. First each column's rows are multiplied with the one row of it
+that has most columns in common with others, and rows found linked become one component. Then rows of different
+components that meet are multiplied: pair by pair in columns where few rows are outside the largest component, else
+block by block, where overlap counts are accumulated over slices of columns and only links that join components leave the task.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import most_frequent, written
+from .common import Tables, free_name, most_frequent
+from .shingles import shingle_sets
 
 #: Columns put last in the order, the most frequent ones: 16 bytes each in every task.
 HOT = 1 << 16
 #: A task reports a column that this many of its rows share.
 REPORTED = 4
-#: Parts into which a pivot's rows are dealt.
+#: Parts into which a frequent column's rows, and the rows met by one row, are dealt.
 SALTS = 16
-ROUNDS = 6
-
-
-def _hasher(n: int):
-    """A function text -> sorted distinct uint64 hashes of its n-word shingles."""
-    import sys
-
-    import xxhash
-
-    words = sys.__dict__.setdefault("_solterra_words", {})
-    mult = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-
-    def mixed(x):
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
-        return x ^ (x >> np.uint64(32))
-
-    def of(text: str | None) -> np.ndarray:
-        found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        if not found:
-            return np.zeros(0, np.uint64)
-        if len(words) > 200_000:
-            words.clear()
-        try:
-            h = [words[w] for w in found]
-        except KeyError:
-            for w in found:
-                if w not in words:
-                    words[w] = xxhash.xxh3_64_intdigest(w)
-            h = [words[w] for w in found]
-        h = np.array(h, np.uint64)
-        k = min(n, len(h))
-        m = len(h) - k + 1
-        acc = np.full(m, k, np.uint64)
-        for j in range(k):
-            acc = mixed(acc * mult[j % 5] + h[j : j + m] + np.uint64(j))
-        return np.unique(acc)
-
-    return of
+#: Columns with more rows than this outside their largest component are multiplied in blocks; a block's rows and shingles.
+FEW, BLOCK_ROWS, BLOCK_SHINGLES = 128, 1024, 1 << 20
+#: Columns of a slice in a block's product.
+SLICE = 4096
 
 
 def _node(s: np.ndarray) -> int:
@@ -82,39 +47,40 @@ def _batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-SET = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
-ENTRY = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("n", pa.int32())])
+SET = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+ENTRY = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _sets(n: int):
-    """kind 0: a document, its set's size and hash; kind 1: (doc_id, n) is a frequent column and its rows here."""
+    """kind 0: a document, its set's size and hash; kind 1: doc_id is a frequent column and n its rows here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = _hasher(n)
         seen: set[int] = set()
         held: list[np.ndarray] = []
+        size = 0
 
         def frequent():
             keys, count = np.unique(np.concatenate(held), return_counts=True)
             many = count >= REPORTED
             k = int(many.sum())
-            return _batch(SET, np.ones(k, np.int32), keys[many].view(np.int64), count[many], pa.nulls(k))
+            return _batch(SET, np.ones(k, np.int32), keys[many].view(np.int64), pa.nulls(k), count[many], pa.nulls(k))
 
         for batch in batches:
             sizes, nodes = [], []
-            for text in batch.column("text"):
-                s = shingles(text.as_py())
+            for s in shingle_sets(batch.column("text"), n):
                 sizes.append(len(s))
                 nodes.append(_node(s) if len(s) else None)
                 if len(s) and nodes[-1] not in seen:
                     seen.add(nodes[-1])
                     held.append(s)
-            yield _batch(SET, np.zeros(len(sizes), np.int32), batch.column("doc_id"), sizes, nodes)
-            if sum(map(len, held)) > 1_500_000:
-                yield frequent()
-                held.clear()
-                seen.clear()
+                    size += len(s)
+                    if size > 1_500_000:
+                        yield frequent()
+                        held.clear()
+                        seen.clear()
+                        size = 0
+            yield _batch(SET, np.zeros(len(sizes), np.int32), batch.column("doc_id"), batch.column("th"), sizes, nodes)
         if held:
             yield frequent()
 
@@ -122,26 +88,38 @@ def _sets(n: int):
 
 
 def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray):
+    """key, salt (0 for columns that are not hot), node, n, pos: the prefix of each distinct set met here."""
+    maybe = np.zeros(1 << 22, bool)
+    maybe[(hot >> np.uint64(42)).astype(np.int64)] = True
+
     def run(batches):
-        shingles, seen = _hasher(n), set()
+        seen: set[int] = set()
+
+        def out(parts):
+            return _batch(ENTRY, *(np.concatenate(c) for c in zip(*parts)))
+
         for batch in batches:
-            keys, nodes, sizes = [], [], []
-            for text in batch.column("text"):
-                s = shingles(text.as_py())
+            parts, size = [], 0
+            for s in shingle_sets(batch.column("text"), n):
                 if not len(s) or (node := _node(s)) in seen:
                     continue
                 seen.add(node)
-                if len(hot):
-                    at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
-                    r = np.where(hot[at] == s, rank[at], 0)
-                    if r.any():
-                        s = s[np.lexsort((s, r))]
                 p = len(s) - -(-percent * len(s) // 100) + 1
-                keys.append(s[:p])
-                nodes.append(np.full(p, node, np.int64))
-                sizes.append(np.full(p, len(s), np.int32))
-            if keys:
-                yield _batch(ENTRY, np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(sizes))
+                salt = np.zeros(len(s), np.int32)
+                if (near := np.flatnonzero(maybe[(s >> np.uint64(42)).astype(np.int64)])).size:
+                    at = np.minimum(np.searchsorted(hot, s[near]), len(hot) - 1)
+                    r = np.zeros(len(s), np.int64)
+                    r[near] = np.where(hot[at] == s[near], rank[at], 0)
+                    order = np.lexsort((s, r))
+                    s = s[order]
+                    salt = np.where(r[order] > 0, 1 + node % SALTS, 0).astype(np.int32)
+                parts.append((s[:p].view(np.int64), salt[:p], np.full(p, node), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)))
+                size += p
+                if size > 300_000:
+                    yield out(parts)
+                    parts, size = [], 0
+            if parts:
+                yield out(parts)
             if len(seen) > 200_000:
                 seen.clear()
 
@@ -149,164 +127,262 @@ def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray):
 
 
 def _shared(batches):
-    """From entries sorted by key and node, each once, those whose key has two nodes or more."""
-    last = None  # the last entry: key, node, size, whether it was given out
+    """From entries sorted by key, salt and node: each once, without those of a key that a single node has.
+
+    Entries with a salt belong to a frequent key, whose other entries may lie elsewhere, and all stay.
+    """
+    last = None  # the last distinct entry, which waits for the next one's key
+    waits = False
     for batch in batches:
-        key, node, size = (batch.column(c).to_numpy() for c in ("key", "node", "n"))
+        cols = [batch.column(c).to_numpy() for c in ENTRY.names]
         if last is not None:
-            key, node, size = np.append(last[0], key), np.append(last[1], node), np.append(last[2], size)
+            cols = [np.concatenate([a, b]) for a, b in zip(last, cols)]
+        key, salt, node = cols[:3]
         if not len(key):
             continue
-        same = key[1:] == key[:-1]
         first = np.ones(len(key), bool)
-        first[1:] = ~(same & (node[1:] == node[:-1]))
-        given = last is not None and last[3]
-        index = np.flatnonzero(first)
-        k = key[index]
-        near = np.zeros(len(index), bool)
-        near[1:] |= k[1:] == k[:-1]
-        near[:-1] |= k[1:] == k[:-1]
+        first[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])
+        cols = [c[first] for c in cols]
+        key, salt = cols[:2]
+        given = last is not None and not waits
+        near = salt > 0
+        near[1:] |= key[1:] == key[:-1]
+        near[:-1] |= key[1:] == key[:-1]
+        waits = not (near[-1] or (given and len(key) == 1))
+        out = near.copy()
         if given:
-            near[0] = False
-        out = index[near]
-        tail = bool(near[-1]) or (given and len(index) == 1)
-        last = (key[-1:], node[-1:], size[-1:], tail)
-        if len(out):
-            yield _batch(ENTRY, key[out], node[out], size[out])
+            out[0] = False
+        last = [c[-1:] for c in cols]
+        if out.any():
+            yield _batch(ENTRY, *(c[out] for c in cols))
+
 
+def _beside(n: int, percent: int):
+    """Rows sorted by head and salt, the head first: the components of rows that are similar to the head's row.
 
-def _products(n: int, percent: int):
-    """Rows sorted by pivot and salt, the pivot's own text first: pairs whose similarity reaches the bound."""
+    All rows of a batch are multiplied with their head at once.
+    """
 
     def run(batches):
-        shingles, at, pivot = _hasher(n), None, np.zeros(0, np.uint64)
+        at, head, own = None, np.zeros(0, np.uint64), None
         for batch in batches:
-            a, b = [], []
-            for p, salt, kind, node, text in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "kind", "node", "text"))):
-                s = shingles(text)
+            ends, comps = [], []
+            sets = shingle_sets(batch.column("text"), n)
+            waiting: list[tuple[int, np.ndarray]] = []
+
+            def multiply():
+                if not waiting or not len(head):
+                    waiting.clear()
+                    return
+                flat = np.concatenate([s for _, s in waiting])
+                sizes = np.array([len(s) for _, s in waiting])
+                hit = head[np.minimum(np.searchsorted(head, flat), len(head) - 1)] == flat
+                both = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[hit], minlength=len(sizes))
+                linked = 100 * both >= percent * (len(head) + sizes - both)
+                ends.extend([own] * int(linked.sum()))
+                comps.extend(c for (c, _), k in zip(waiting, linked) if k)
+                waiting.clear()
+
+            size = 0
+            for a, salt, kind, comp, s in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "kind", "comp")), sets):
+                if kind == 0 or size > 1_000_000:
+                    multiply()
+                    size = 0
                 if kind == 0:
-                    at, pivot = (p, salt), s
-                elif at == (p, salt):
-                    both = len(np.intersect1d(pivot, s, assume_unique=True))
-                    if 100 * both >= percent * (len(pivot) + len(s) - both):
-                        a.append(p)
-                        b.append(node)
-            yield _batch(PAIR, a, b)
+                    at, head, own = (a, salt), s, comp
+                elif at == (a, salt) and len(s):
+                    waiting.append((comp, s))
+                    size += len(s)
+            multiply()
+            if ends:
+                yield _batch(PAIR, ends, comps)
+
+    return run
+
+
+def _links(left: list, right: list, percent: int) -> list[tuple[int, int]]:
+    """Links between rows (comp, set) of two blocks, or within one (right is left), as many as it takes to join what they join."""
+    rows = left if right is left else left + right
+    sizes = np.array([len(s) for _, s in rows])
+    _, col, count = np.unique(np.concatenate([s for _, s in rows]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    use = count[col] > 1
+    place = np.cumsum(count > 1) - 1
+    row, col = row[use], place[col[use]]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    k = len(left)
+    overlap = np.zeros((k, len(rows)), np.float64)
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, SLICE):
+        a, b = np.searchsorted(col, (lo, lo + SLICE))
+        part = np.zeros((len(rows), SLICE), np.float32)
+        part[row[a:b], col[a:b] - lo] = 1
+        overlap += part[:k] @ part.T
+    comp = np.unique([c for c, _ in rows], return_inverse=True)[1]
+    linked = 100 * overlap >= percent * (sizes[:k, None] + sizes[None, :] - overlap)
+    parent = np.arange(comp.max() + 1)
+    out = []
+    for i in range(k):
+        for j in np.flatnonzero(linked[i] & (parent[comp] != parent[comp[i]])):
+            x, y = parent[comp[i]], parent[comp[j]]
+            if x != y:
+                parent[parent == y] = x
+                out.append((rows[i][0], rows[j][0]))
+    return out
+
+
+def _blocks(n: int, percent: int):
+    """Rows sorted by key and pair of blocks (i, j), those of block i first: links between components in each."""
+
+    def run(batches):
+        at, sides = None, ([], [])
+
+        def done():
+            left, right = sides
+            found = _links(left, left if at[1] == at[2] else right, percent) if left and (right or at[1] == at[2]) else []
+            sides[0].clear(), sides[1].clear()
+            return found
+
+        for batch in batches:
+            found = []
+            for key, i, j, side, comp, s in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "side", "comp")), shingle_sets(batch.column("text"), n)):
+                if at != (key, i, j):
+                    if at is not None:
+                        found += done()
+                    at = (key, i, j)
+                sides[side].append((comp, s))
+            if found:
+                yield _batch(PAIR, *zip(*found))
+        if at is not None and (found := done()):
+            yield _batch(PAIR, *zip(*found))
 
     return run
 
 
 def _multiply(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar. Each b's text travels once for each pair, each a's once for each salt."""
+    """The components (a, b) of the pairs a, b, comp_a, comp_b that are similar.
+
+    Each b's text travels once for each pair, each a's once for each salt.
+    """
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    rows = salted.join(texts.hint("merge"), F.col("b") == F.col("node")).select("a", "salt", F.lit(1).alias("kind"), "node", "text")
-    heads = salted.select("a", "salt").distinct().join(texts.hint("merge"), F.col("a") == F.col("node")).select("a", "salt", F.lit(0).alias("kind"), "node", "text")
-    blocks = rows.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return blocks.mapInArrow(_products(n, percent), "a long, b long")
+    rows = salted.join(texts.hint("merge"), F.col("b") == F.col("node")).select("a", "salt", F.lit(1).alias("kind"), F.col("comp_b").alias("comp"), "text")
+    heads = salted.select("a", "salt", "comp_a").distinct().join(texts.hint("merge"), F.col("a") == F.col("node")).select("a", "salt", F.lit(0).alias("kind"), F.col("comp_a").alias("comp"), "text")
+    dealt = rows.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
+    return dealt.mapInArrow(_beside(n, percent), "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """node, comp (the smallest node of its component) for nodes that are no component's smallest.
 
     Alternating large and small stars (Kiveris et al. 2014); only minima are gathered for a node, never
     its neighbours, and each round is a written table.
     """
-    e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    e = tables.written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        after = written(small, "edges")
-        state = [d.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first() for d in (e, after)]
-        e = after
-        if tuple(state[0]) == tuple(state[1]):
+        e = tables.written(small, "edges")
+        before, state = state, tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
+        if state == before or not state[0]:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def _need(percent: int, m=None):
+    """Column: products that rows of sizes n and m need within their prefixes, at least; falls as m goes away from n."""
+    m = F.col("m") if m is None else m
+    rest = F.greatest(*(F.ceil(c * percent / F.lit(100)) - 1 for c in (F.col("n"), m)))
+    return F.ceil((F.col("n") + m) * percent / F.lit(100 + percent)) - rest
+
+
 def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs(doc_id, text, ...).
+    """doc_id, n_shingles, component_id, th, class for each row of docs(doc_id, text, ...).
 
     Words are runs without ASCII white space, A-Z in lower case; a text with fewer than n words is one
-    shingle, one without words has none and stands alone. Rows link when 100 * intersection >= percent *
+    shingle, one without words, or null, has none and stands alone. Rows link when 100 * intersection >= percent *
     union. component_id is the smallest doc_id that links reach; repeated doc_ids keep a row each, null
-    doc_ids too (their component's smallest other doc_id, or null). Sets with the same 64-bit hash count as
-    equal; among N distinct sets that goes wrong with a chance below N^2 / 2^65.
+    doc_ids too (their component's smallest other doc_id, or null). th is the text's xxhash64,
+    class a number of the component (null: no words). Other columns are ignored. Sets with the same 64-bit hash count as equal; among N distinct sets that goes wrong
+    with a chance of about N^2 / 2^65.
     """
+    tables = Tables(docs.sparkSession, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = written(docs.mapInArrow(_sets(n), "kind int, doc_id long, n long, node long"), "sets")
-    sets = made.where("kind = 0").select("doc_id", "n", "node")
-    often = written(made.where("kind = 1").groupBy(F.col("doc_id").alias("key")).agg(F.sum("n").alias("df")), "frequent")
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    made = tables.written(docs.mapInArrow(_sets(n), "kind int, doc_id long, th long, n long, node long"), "sets")
+    sets = made.where("kind = 0").select("doc_id", "th", "n", "node")
+    often = tables.written(made.where("kind = 1").groupBy(F.col("doc_id").alias("key")).agg(F.sum("n").alias("df")), "frequent")
     rows = most_frequent(often, "df", HOT).collect()
     hot = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(hot)
     rank = np.array([r["df"] for r in rows], np.int64)[order]
 
-    entries = docs.select("text").mapInArrow(_prefixes(n, percent, hot[order], rank), "key long, node long, n int")
-    shared = written(entries.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long, n int"), "shared")
+    entry = "key long, salt int, node long, n int, pos int"
+    entries = docs.select("text").mapInArrow(_prefixes(n, percent, hot[order], rank), entry)
+    shared = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_shared, entry)
+    # place among the row's shared columns, and their number; a row has as many as its prefix is long
+    row = Window.partitionBy("node")
+    placed = shared.select("key", "node", "n", (F.row_number().over(row.orderBy("pos")) - 1).alias("t"), F.count("*").over(row).cast("int").alias("s"))
+    shared = tables.written(placed, "shared")
+
     met = shared.select("node").distinct()
-    heads = sets.join(met.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("d"))
-    texts = docs.join(heads.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text")
-    texts = written(texts.mapInArrow(_own(n), "node long, text string"), "texts")
+    heads = sets.join(met.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("node", F.col("x.doc_id").alias("d"), F.col("x.th").alias("t"))
+    texts = docs.join(heads.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
+    texts = tables.written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
-    labels = None
-    edges = None
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
-    # c columns of the prefixes in common bound the whole product from above
-    need = F.ceil((F.col("n") + F.col("m")) * percent / F.lit(100 + percent))
-    rest = F.greatest(*(F.ceil(F.col(c) * percent / F.lit(100)) - 1 for c in ("n", "m")))
-    before = None
-    for r in range(ROUNDS + 1):
-        x = shared.withColumn("comp", F.col("node")) if labels is None else shared.join(labels.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        x = written(x, "labelled")
-        sizes = x.groupBy("key", "comp").agg(F.count("*").alias("k"))
-        keys = written(sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("k").alias("rows"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1"), "mixed")
-        work, size = keys.agg(F.sum((F.col("rows") - F.col("top.k")) * F.col("rows"))).first()[0] or 0, x.count()
-        if not work:
-            break
-        last = work <= size // 4 or r == ROUNDS or (before is not None and work > 0.9 * before)
-        before = work
-        if last:
-            # all pairs across components: one of the two is outside the key's largest component
-            side = x.join(keys.hint("merge"), "key").select("key", "node", "n", "comp", F.col("top.comp").alias("top"))
-            out = side.where("comp <> top")
-            other = side.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), (F.col("comp") != F.col("top")).alias("out_b"))
-            pairs = out.join(other.hint("merge"), "key").where((F.col("comp") != F.col("comp_b")) & (~F.col("out_b") | (F.col("node") < F.col("b"))) & fits)
-            pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b"), F.when(F.col("node") < F.col("b"), F.col("n")).otherwise(F.col("m")).alias("n"), F.when(F.col("node") < F.col("b"), F.col("m")).otherwise(F.col("n")).alias("m"), "key")
-            pairs = pairs.groupBy("a", "b").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count_distinct("key").alias("c")).where(F.col("c") + rest >= need).select("a", "b")
-        else:
-            # one pivot for each column, by an order that gives the rows of a group the same few
-            place = F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n", "comp")
-            pivots = x.join(keys.select("key").hint("merge"), "key", "left_semi").groupBy("key").agg(F.min(place).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.comp").alias("comp_a"))
-            pairs = x.join(pivots.hint("merge"), "key").where((F.col("comp") != F.col("comp_a")) & fits).groupBy("a", F.col("node").alias("b")).agg(F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"))
-            # columns with another pivot are not counted, so a pair may be put off to the last round
-            pairs = pairs.where(F.col("c") + rest >= need).select("a", "b")
-        found = written(_multiply(pairs, texts, n, percent), "links")
-        edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("comp").alias("b")))
-        labels = components(edges)
-        if last:
-            break
-
-    full = sets.where("node IS NOT NULL")
-    full = full.withColumn("comp", F.col("node")) if labels is None else full.join(labels.hint("merge"), "node", "left").select("doc_id", "n", F.coalesce("comp", "node").alias("comp"))
+    pivots = shared.groupBy("key").agg(F.max(F.struct("s", "node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.s").alias("s_a"))
+    pairs = shared.join(pivots.hint("merge"), "key").where((F.col("node") != F.col("a")) & fits & (F.least("s", "s_a") >= _need(percent)))
+    pairs = pairs.select("a", F.col("node").alias("b")).distinct().select("a", "b", F.col("a").alias("comp_a"), F.col("b").alias("comp_b"))
+    labels = components(_multiply(pairs, texts, n, percent), tables)
+
+    x = shared.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    x = tables.written(x.select("key", "node", "n", (F.col("s") - F.col("t")).cast("int").alias("left"), "comp"), "labelled")
+    # rows of which too little is left for any size that their column holds
+    sizes = x.groupBy("key").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("key", "lo", "hi")
+    x = x.join(sizes.hint("merge"), "key")
+    least = [_need(percent, F.greatest("lo", F.ceil(F.col("n") * percent / F.lit(100)))), _need(percent, F.least("hi", F.floor(F.col("n") * 100 / F.lit(percent))))]
+    # 1 less, as whole numbers do not fall evenly between
+    x = tables.written(x.where(F.col("left") >= F.least(*least) - 1).drop("lo", "hi"), "able")
+    of_comp = x.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+    keys = of_comp.groupBy("key").agg(F.sum("k").alias("rows"), F.sum("size").alias("size"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1")
+    x = tables.written(x.join(keys.select("key", "rows", "size", F.col("top.comp").alias("top"), (F.col("rows") - F.col("top.k")).alias("outside")).hint("merge"), "key"), "mixed")
+
+    # one of two rows of different components is outside the column's largest one
+    few = x.where(F.col("outside") <= FEW)
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("left").alias("left_b"), (F.col("comp") != F.col("top")).alias("out_b"))
+    meet = (~F.col("out_b") | (F.col("node") < F.col("b"))) & (F.col("comp") != F.col("comp_b")) & fits & (F.least("left", "left_b") >= _need(percent))
+    pairs = few.where("comp <> top").join(other.hint("merge"), "key").where(meet).select(F.col("node").alias("a"), "b", F.col("comp").alias("comp_a"), "comp_b").distinct()
+    found = _multiply(pairs, texts, n, percent)
+
+    many = x.where(F.col("outside") > FEW).withColumn("blocks", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("size") / BLOCK_SHINGLES)).cast("int"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"), "node", "comp")
+    many = many.join(texts.hint("merge"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    found = found.unionByName(many.mapInArrow(_blocks(n, percent), "a long, b long"))
+    joined = components(found, tables).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+
+    full = sets.where("node IS NOT NULL").join(labels.hint("merge"), "node", "left").select("doc_id", "th", "n", F.coalesce("comp", "node").alias("comp"))
+    full = full.join(joined.hint("merge"), "comp", "left").select("doc_id", "th", "n", F.coalesce("root", "comp").alias("comp"))
     smallest = full.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    full = full.select("doc_id", "n", "comp").join(smallest.hint("merge"), "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return full.unionByName(sets.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
-
+    full = full.join(smallest.hint("merge"), "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th", F.col("comp").alias("class"))
+    full = full.unionByName(sets.where("node IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "th", F.lit(None).cast("long").alias("class")))
+    return tables.result(full, "components")
 
-def _own(n: int):
-    """Of rows that share a doc_id, the one that has the node's set."""
 
-    def run(batches):
-        shingles, given = _hasher(n), set()
-        for batch in batches:
-            keep = []
-            for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-                s = shingles(text)
-                keep.append(bool(len(s)) and _node(s) == node and node not in given)
-                if keep[-1]:
-                    given.add(node)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text")], ["node", "text"]).filter(pa.array(keep))
+def distinct_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, all columns of docs: the one with the smallest doc_id, at a tie the smallest hash of the text.
 
-    return run
+    Rows with a null doc_id stand for a component only if it has no other. Texts without words are in no component and stay.
+    Of rows equal in doc_id and text one stays.
+    """
+    found = ngram_join(docs, n, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
+    best = found.where("class IS NOT NULL").groupBy("class").agg(F.min(place).alias("x")).select("x.doc_id", "x.th")
+    d, t, id_, hash_ = (free_name(docs, c) for c in ("d", "t", "id", "hash"))
+    best = best.unionByName(found.where("class IS NULL").select("doc_id", "th").distinct()).select(F.col("doc_id").alias(d), F.col("th").alias(t))
+    rows = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(hash_, F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(best.hint("merge"), F.col(id_).eqNullSafe(F.col(d)) & (F.col(hash_) == F.col(t)), "left_semi")
+    return rows.dropDuplicates([id_, hash_]).drop(id_, hash_)

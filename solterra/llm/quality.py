@@ -23,9 +23,9 @@ POINTS = ".,;:!?'\"()-"
 
 
 def _columns(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and what both the references and the verdicts need; each step is one projection."""
+    """doc_id, lang, the row itself, and what both the references and the verdicts need; each step is one projection."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("t"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("t"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = rows.select("*", F.length("t").alias("n"), F.regexp_replace("t", "\\p{L}+", "").alias("rest"), F.regexp_replace(F.lower("t"), "[^\\p{L}]+", " ").alias("letters"))
 
     # each class is taken out of what the others left, the most frequent first, so that later ones read little
@@ -36,7 +36,7 @@ def _columns(docs: DataFrame) -> DataFrame:
         last = f"no_{name}"
     rows = rows.select("*", (F.col("n") - F.length("rest")).alias("n_letters"), (F.col("n") - F.length(F.regexp_replace("t", "\\p{Lu}+", ""))).alias("upper"), *taken)
     rows = rows.withColumn("lower", F.col("n_letters") - F.col("upper")).withColumn("other", F.col("n") - F.col("n_letters") - F.col("digit") - F.col("space") - F.col("point") - F.col("symbol"))
-    return rows.select("doc_id", "lang", "t", "n", "letters", "space", "symbol", F.array(*(F.col(c).cast("double") for c in CLASSES)).alias("classes"))
+    return rows.select("doc_id", "lang", "t", "row", "n", "letters", "space", "symbol", F.array(*(F.col(c).cast("double") for c in CLASSES)).alias("classes"))
 
 
 def references(docs: DataFrame) -> DataFrame:
@@ -93,9 +93,9 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("wh", "wins", "placed", "starts")
 
 
-def quality(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON) -> DataFrame:
+def quality(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = MAX_COMMON, whole: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text, lang, ...): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, base_failed, kept, class_distance, common_distance.
+    n_repeat_words, base_failed, kept, class_distance, common_distance, and with whole the row itself as struct row.
 
     A document is compared with the reference of its lang, or with that of all documents where lang is null or
     has none. The distances are null, and base_failed alone decides, below GUARD_WORDS words. A null text
@@ -104,8 +104,8 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = M
     ref = references(docs)
     rows = _columns(docs)
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    rows = rows.select("doc_id", "lang", "n", "letters", "space", "symbol", "classes", words_of(F.col("t")).alias("words"), lines.alias("lines"))
-    rows = rows.select("doc_id", "lang", "letters", "classes", "words", F.size("words").cast("long").alias("n_words"), (F.col("n") - F.col("space")).cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
+    rows = rows.select("doc_id", "lang", "row", "n", "letters", "space", "symbol", "classes", words_of(F.col("t")).alias("words"), lines.alias("lines"))
+    rows = rows.select("doc_id", "lang", "row", "letters", "classes", "words", F.size("words").cast("long").alias("n_words"), (F.col("n") - F.col("space")).cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
     rows = _repeated(rows).drop("words")
     # LANGUAGES + 1 rows: a bound that no input changes
     known = [r["lang"] for r in ref.select("lang").collect()]
@@ -126,4 +126,9 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = M
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = (F.coalesce("class_distance", F.lit(0.0)) >= max_class) | (F.coalesce("common_distance", F.lit(0.0)) >= max_common)
     # written, for a reader's filter pushed into the rules would evaluate them many times over
-    return written(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "common_distance"), "verdicts")
+    return written(rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), "class_distance", "common_distance", *(["row"] if whole else [])), "verdicts")
+
+
+def good(docs: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that the rules keep. Each row has its own verdict, whatever its doc_id."""
+    return quality(docs, whole=True).where("kept").select("row.*")

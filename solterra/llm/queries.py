@@ -27,7 +27,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(documents(spark, sf_dir))
+    return ngram_join(documents(spark, sf_dir)).drop("th", "class")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

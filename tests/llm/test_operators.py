@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -18,6 +19,7 @@ from solterra.llm.queries import tokenizer_path
 from solterra.llm.sharding import shard_by_bytes, shard_of
 from solterra.llm.token_counts import token_counts
 
+ngram_module = sys.modules["solterra.llm.ngram_join"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, row long"
 BASE = "The quick brown fox jumps over the lazy dog near the river bank while rain falls on the old stone bridge"
 
@@ -88,6 +90,19 @@ def test_token_counts(docs, rows, empty):
     assert token_counts(empty, tokenizer_path()).count() == 0
 
 
+def test_ids_of_every_character():
+    """Alone, inside a word, and beside a space, against the library."""
+    from solterra.llm.tokens import Pieces
+
+    pieces = Pieces(tokenizer_path())
+    texts = [t for c in range(0x3000) if not 0xD800 <= c < 0xE000 for t in (chr(c), f"ab{chr(c)}cd", f"a {chr(c)}")]
+    want = [np.array(e.ids, "<u4").tobytes() for e in pieces.tok.encode_batch(texts, add_special_tokens=False)]
+    assert pieces.encode_many(texts, {}) == want
+    for k in range(0, len(texts), 97):
+        words, found = pieces.of(texts[k])
+        assert not found and np.array([i for ids in pieces.ids(words) for i in ids], "<u4").tobytes() == want[k]
+
+
 def links(rows):
     def shingles(t):
         w = (t or "").encode().lower().split()
@@ -114,7 +129,7 @@ def links(rows):
 
 
 def test_ngram_join(spark, docs, rows, empty):
-    assert Counter(map(tuple, ngram_join(docs).collect())) == links(rows)
+    assert Counter(map(tuple, ngram_join(docs).drop("th", "class").collect())) == links(rows)
     assert ngram_join(empty).count() == 0
 
 
@@ -129,7 +144,27 @@ def test_ngram_join_of_near_copies(spark):
             w[rng.randrange(60)] = f"e{rng.randrange(1000)}"
         made.append((d, " ".join(w)))
     got = ngram_join(spark.createDataFrame(made, "doc_id long, text string"))
-    assert Counter(map(tuple, got.collect())) == links(made)
+    assert Counter(map(tuple, got.drop("th", "class").collect())) == links(made)
+
+
+@pytest.mark.parametrize("few", [ngram_module.FEW, 0])
+def test_ngram_join_without_a_central_copy(spark, monkeypatch, few):
+    """Copies that differ from each other more than from a text that is not there; columns in blocks of few rows."""
+    monkeypatch.setattr(ngram_module, "FEW", few)
+    monkeypatch.setattr(ngram_module, "BLOCK_ROWS", 16)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(100)]
+    made = []
+    for d in range(90):
+        w = list(words)
+        for _ in range(3):
+            w[rng.randrange(100)] = f"e{rng.randrange(40)}"
+        if d % 3 == 0:
+            del w[rng.randrange(60) :][:10]
+        made.append((d if d % 7 else 3, " ".join(w)))
+    made += [(None, made[0][1]), (None, made[1][1]), (200, None)]
+    got = ngram_join(spark.createDataFrame(made, "doc_id long, text string"))
+    assert Counter(map(tuple, got.drop("th", "class").collect())) == links(made)
 
 
 def test_sharding(docs, rows, empty):
