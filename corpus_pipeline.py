@@ -3,46 +3,37 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from solterra.llm import decontamination, mixing
+from solterra.llm import decontamination, mixing, quality
 from solterra.llm.common import documents, written
-from solterra.llm.ngram_join import ngram_join
-from solterra.llm.quality import quality
+from solterra.llm.ngram_join import distinct_documents
 from solterra.llm.queries import tokenizer_path
 from solterra.llm.token_output import token_output
 
 
-def _by_id(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in kept(doc_id)."""
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    # written first: a filter pushed into the rules would evaluate them again and again
-    return _by_id(docs, written(quality(docs).select("doc_id", "kept"), "verdicts").where("kept"))
+    """Documents that the rules keep. Null and empty texts go; each of rows that share a doc_id has its own verdict."""
+    return quality.good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id."""
-    return _by_id(docs, ngram_join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of near duplicates the document with the smallest doc_id; of wholly repeated rows one."""
+    return distinct_documents(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; repeated rows stay or go together."""
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic tokens are mixed down to nothing; the other domains keep what they have."""
+    """Toxic tokens are mixed down to nothing; the other domains keep what they have. Rows equal in doc_id and text meet the same fate."""
     labelled = mixing.label_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixing.mix(docs, labelled, {"toxic": 0.0})
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, written and read back."""
+    """Token ids of what is left, written and read back; a null text has only the end id."""
     return token_output(docs, tokenizer_path(), end_id=2)
 
 
