@@ -55,6 +55,8 @@ class Tables:
         self.made += 1
         path = f"{self.path}/{self.made}-{name}"
         df.write.parquet(path)
+        # shuffle files are deleted when the driver finds their plans unused: what is written needs them no more
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def result(self, df: DataFrame, name: str) -> DataFrame:

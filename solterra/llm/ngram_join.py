@@ -33,6 +33,10 @@ REPORTED = 4
 SALTS = 16
 #: Columns with more rows than this outside their largest component are multiplied in blocks; a block's rows and shingles.
 FEW, BLOCK_ROWS, BLOCK_SHINGLES = 128, 1024, 1 << 20
+#: Columns before a column in which rows that meet in it may have met already.
+LOOK = 6
+#: Places of texts, 24 bytes each, that go to every task at most.
+SENT = 1 << 20
 #: Columns of a slice in a block's product.
 SLICE = 4096
 
@@ -291,6 +295,15 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
 
 
+def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame, tables: Tables) -> DataFrame:
+    """node, text: a text of each of the nodes. Up to SENT places of texts go to every task, more are joined with a shuffle."""
+    heads = sets.join(nodes.toDF("node").distinct().hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x"))
+    heads = tables.written(heads.select("node", F.col("x.doc_id").alias("d"), F.col("x.th").alias("t")), "heads")
+    heads = F.broadcast(heads) if heads.limit(SENT + 1).count() <= SENT else heads.hint("merge")
+    texts = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
+    return tables.written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+
 def _need(percent: int, m=None):
     """Column: products that rows of sizes n and m need within their prefixes, at least; falls as m goes away from n."""
     m = F.col("m") if m is None else m
@@ -327,15 +340,11 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     placed = shared.select("key", "node", "n", (F.row_number().over(row.orderBy("pos")) - 1).alias("t"), F.count("*").over(row).cast("int").alias("s"))
     shared = tables.written(placed, "shared")
 
-    met = shared.select("node").distinct()
-    heads = sets.join(met.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("x")).select("node", F.col("x.doc_id").alias("d"), F.col("x.th").alias("t"))
-    texts = docs.join(heads.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("node", "text")
-    texts = tables.written(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     pivots = shared.groupBy("key").agg(F.max(F.struct("s", "node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.s").alias("s_a"))
     pairs = shared.join(pivots.hint("merge"), "key").where((F.col("node") != F.col("a")) & fits & (F.least("s", "s_a") >= _need(percent)))
-    pairs = pairs.select("a", F.col("node").alias("b")).distinct().select("a", "b", F.col("a").alias("comp_a"), F.col("b").alias("comp_b"))
+    pairs = tables.written(pairs.select("a", F.col("node").alias("b")).distinct().select("a", "b", F.col("a").alias("comp_a"), F.col("b").alias("comp_b")), "pairs")
+    texts = _texts(docs, sets, pairs.select("a").union(pairs.select("b")), tables)
     labels = components(_multiply(pairs, texts, n, percent), tables)
 
     x = shared.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -350,14 +359,20 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     keys = of_comp.groupBy("key").agg(F.sum("k").alias("rows"), F.sum("size").alias("size"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1")
     x = tables.written(x.join(keys.select("key", "rows", "size", F.col("top.comp").alias("top"), (F.col("rows") - F.col("top.k")).alias("outside")).hint("merge"), "key"), "mixed")
 
-    # one of two rows of different components is outside the column's largest one
-    few = x.where(F.col("outside") <= FEW)
-    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("left").alias("left_b"), (F.col("comp") != F.col("top")).alias("out_b"))
-    meet = (~F.col("out_b") | (F.col("node") < F.col("b"))) & (F.col("comp") != F.col("comp_b")) & fits & (F.least("left", "left_b") >= _need(percent))
+    # one of two rows of different components is outside the column's largest one; rows that share a column
+    # shortly before met there, with more of both left
+    along = Window.partitionBy("node").orderBy(F.desc("left"))
+    few = x.where(F.col("outside") <= FEW).withColumn("before", F.array_compact(F.array(*(F.lag("key", k).over(along) for k in range(1, LOOK + 1)))))
+    few = tables.written(few, "few")
+    other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("left").alias("left_b"), F.col("before").alias("before_b"), (F.col("comp") != F.col("top")).alias("out_b"))
+    meet = (~F.col("out_b") | (F.col("node") < F.col("b"))) & (F.col("comp") != F.col("comp_b")) & fits & (F.least("left", "left_b") >= _need(percent)) & ~F.arrays_overlap("before", "before_b")
     pairs = few.where("comp <> top").join(other.hint("merge"), "key").where(meet).select(F.col("node").alias("a"), "b", F.col("comp").alias("comp_a"), "comp_b").distinct()
+    pairs = tables.written(pairs, "pairs")
+    many = x.where(F.col("outside") > FEW)
+    texts = _texts(docs, sets, pairs.select("a").union(pairs.select("b")).union(many.select("node")), tables)
     found = _multiply(pairs, texts, n, percent)
 
-    many = x.where(F.col("outside") > FEW).withColumn("blocks", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("size") / BLOCK_SHINGLES)).cast("int"))
+    many = many.withColumn("blocks", F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("size") / BLOCK_SHINGLES)).cast("int"))
     many = many.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     many = many.select("key", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), F.when(F.col("own") > F.col("with"), 1).otherwise(0).alias("side"), "node", "comp")
     many = many.join(texts.hint("merge"), "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
