@@ -2,7 +2,7 @@
 
 A store is a folder with two Parquet tables, so that Spark's committer makes each file whole or absent:
 `table` (token, freq) and `frames` (part, block, start_in_part, n_tokens, n_docs, frame). A frame is
-self-contained bytes: header, document index, checkpoints and 32-bit words. Frames are independent
+self-contained bytes: header, document index, checkpoints and 24-bit words. Frames are independent
 of each other; inside a frame, token i belongs to lane i mod LANES, and every EVERY steps the states
 of all lanes and the place in the word stream are kept, so that each segment decodes by itself.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,18 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import most_frequent, scratch, written
-from .tokens import PLAIN_WORDS, Pieces
+from .common import Tables, remove, scratch
+from .tokens import Pieces
 
-MAGIC = b"RNS1"
-LANES = 512
+MAGIC = b"RNS2"
+LANES = 2048
 EVERY = 64
 #: Tokens after which a frame is closed, at a document's end.
-TARGET = 1 << 18
+TARGET = 1 << 19
 SCALE = 20
-#: Frequent chunks whose ids every task gets: about 25 MB in a Python worker.
-HOT = 1 << 17
-LOW = np.uint64(1 << 31)
+#: States lie from 2**LOW_BITS to 2**(LOW_BITS + WORD_BITS).
+LOW_BITS, WORD_BITS = 28, 24
 HEAD = "<4sBxHIIIIII"  # magic, scale, lanes, every, tokens, docs, words, crc of ids, crc of the body
 
 
@@ -56,7 +54,11 @@ def normalised(counts: np.ndarray, scale: int = SCALE) -> np.ndarray:
 
 
 class Coder:
-    """Encodes and decodes blocks of ids with one frequency table."""
+    """Encodes and decodes blocks of ids with one frequency table.
+
+    States stay below 2**52 and words have 24 bits, so that a quotient of float64 is exact once rounded down
+    and one word at most leaves or enters for each token.
+    """
 
     def __init__(self, freq: np.ndarray, scale: int = SCALE):
         self.scale, self.freq = scale, np.asarray(freq, dtype=np.uint64)
@@ -65,26 +67,27 @@ class Coder:
 
     def encode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """States at each checkpoint (segments x lanes), word offset of each, and the words."""
-        n, shift, word = len(ids), np.uint64(self.scale), np.uint64(32)
-        steps = -(-n // LANES)
-        f, c = self.freq[ids], self.start[ids]
+        n, steps = len(ids), -(-len(ids) // LANES)
+        f, c = self.freq[ids].astype(float), self.start[ids].astype(float)
         if n and not f.all():
             raise ValueError("a token without frequency")
-        most = f << np.uint64(63 - self.scale)
-        x = np.full(LANES, LOW, np.uint64)
+        most, grown, word = f * 2.0 ** (LOW_BITS + WORD_BITS - self.scale), 2.0**self.scale - f, 2.0**WORD_BITS
+        x = np.full(LANES, 2.0**LOW_BITS)
         states, out, sizes = [], [], np.zeros(steps, np.int64)
         for s in range(steps - 1, -1, -1):
             a, b = s * LANES, min(n, (s + 1) * LANES)
             v = x[: b - a]
-            full = v >= most[a:b]
-            if full.any():
-                out.append(v[full].astype(np.uint32))
-                sizes[s] = len(out[-1])
-                v[full] >>= word
-            q, r = np.divmod(v, f[a:b])
-            v[:] = (q << shift) + r + c[a:b]
+            full = np.flatnonzero(v >= most[a:b])
+            if len(full):
+                old = v[full]
+                new = np.floor(old / word)
+                out.append((old - new * word).astype(np.uint32))
+                sizes[s] = len(full)
+                v[full] = new
+            v += np.floor(v / f[a:b]) * grown[a:b]
+            v += c[a:b]
             if s % EVERY == 0:
-                states.append(x.copy())
+                states.append(x.astype(np.uint64))
         words = np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32)
         offsets = np.concatenate([[0], np.cumsum(sizes)])[: steps or 1 : EVERY] if steps else np.zeros(0)
         return np.array(states[::-1], np.uint64).reshape(-1, LANES), np.asarray(offsets, np.uint32), words
@@ -98,7 +101,7 @@ class Coder:
         at = offsets.astype(np.int64)
         words = np.concatenate([words, np.zeros(1, np.uint32)]).astype(np.uint64)
         ids = np.zeros((segments, EVERY, LANES), np.uint32)
-        mask, shift, word = np.uint64((1 << self.scale) - 1), np.uint64(self.scale), np.uint64(32)
+        mask, shift, word = np.uint64((1 << self.scale) - 1), np.uint64(self.scale), np.uint64(WORD_BITS)
         steps, tail = -(-n // LANES), n % LANES or LANES
         for s in range(min(EVERY, steps)):
             live = segments if (segments - 1) * EVERY + s < steps else segments - 1
@@ -107,7 +110,7 @@ class Coder:
             sym = self.slot[low]
             ids[:live, s] = sym
             v[:] = self.freq[sym] * (v >> shift) + low - self.start[sym]
-            need = v < LOW
+            need = v < np.uint64(1 << LOW_BITS)
             if live == segments and (segments - 1) * EVERY + s == steps - 1:
                 need[-1, tail:] = False  # these lanes have no token in the last step
             took = need.sum(axis=1)
@@ -121,7 +124,7 @@ class Coder:
 def pack(coder: Coder, doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     states, offsets, words = coder.encode(ids)
     index = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(lengths, "<u4").tobytes()
-    body = index + states.astype("<u8").tobytes() + offsets.astype("<u4").tobytes() + words.astype("<u4").tobytes()
+    body = index + states.astype("<u8").tobytes() + offsets.astype("<u4").tobytes() + words.astype("<u4").view("u1").reshape(-1, 4)[:, :3].tobytes()
     return struct.pack(HEAD, MAGIC, coder.scale, LANES, EVERY, len(ids), len(doc_ids), len(words), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
 
 
@@ -141,105 +144,70 @@ def unpack(coder: Coder, frame: bytes) -> tuple[list[int | None], np.ndarray, np
         return got
 
     keys, nulls, lengths = take("<i8", docs), take("u1", docs), take("<u4", docs)
-    states, offsets, words = take("<u8", segments * LANES).reshape(-1, LANES), take("<u4", segments), take("<u4", n_words)
+    states, offsets, words = take("<u8", segments * LANES).reshape(-1, LANES), take("<u4", segments), take("u1", 3 * n_words).reshape(-1, 3)
+    words = words[:, 0] | words[:, 1].astype(np.uint32) << 8 | words[:, 2].astype(np.uint32) << 16
     ids = coder.decode(n, states, offsets, words)
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc_ids:
         raise ValueError("decoded ids differ from those encoded")
     return [None if z else int(k) for k, z in zip(keys, nulls)], lengths, ids
 
 
-def _chunks(path: str):
+def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, seen = Pieces.load(path), Counter()
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["chunk", "n"])
+        from pyspark import TaskContext
 
+        pieces, row = Pieces.load(path), TaskContext.get().partitionId() << 40
+        end = np.array([end_id], pieces.dtype).tobytes()
         for batch in batches:
-            for text in batch.column("text"):
-                text = text.as_py()
-                chunks = pieces.chunks_of(text)
-                if chunks is None:
-                    words, found = pieces.of(text)
-                    names = {i: s for s, i in pieces.special.items()}
-                    chunks = [*words, *(names[i] for _, i in found)]
-                seen.update(chunks)
-                if len(seen) > 600_000:
-                    yield out()
-                    seen.clear()
-        yield out()
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                ids = [pieces.encode(t.as_py()) + end for t in part.column("text")]
+                at = pa.array(range(row, row + len(ids)), pa.int64())
+                row += len(ids)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), at, pa.array(ids, pa.binary())], ["doc_id", "th", "row", "ids"])
 
     return run
 
 
-def _histogram(path: str):
+def _histogram(dtype: str):
     def run(batches):
-        pieces, total, words = Pieces.load(path), np.zeros(1, np.int64), Counter()
-
-        def flush():
-            nonlocal total
-            ids = pieces.ids(list(words))
-            weight = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(x) for x in ids])
-            more = np.bincount([i for x in ids for i in x], weight, minlength=len(total)).astype(np.int64)
-            more[: len(total)] += total
-            total = more
-            words.clear()
-
+        total = np.zeros(1, np.int64)
         for batch in batches:
-            for chunk, n in zip(batch.column("chunk").to_pylist(), batch.column("n").to_pylist()):
-                if chunk in pieces.special:
-                    k = pieces.special[chunk]
-                    total = np.pad(total, (0, max(0, k + 1 - len(total))))
-                    total[k] += n
-                else:
-                    for w in pieces.of(chunk)[0] if pieces.chunks_of(chunk) is None else PLAIN_WORDS.findall(chunk.lower()):
-                        words[w] += n
-            if len(words) > 200_000:
-                flush()
-        flush()
+            for lo in range(0, batch.num_rows, 500):
+                more = np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(lo, 500).to_pylist()), dtype), minlength=len(total))
+                more[: len(total)] += total
+                total = more
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
 
     return run
 
 
-def _ids_of_chunks(path: str):
-    def run(batches):
-        pieces = Pieces.load(path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(pieces._encode(batch.column("chunk").to_pylist()), pa.binary())], ["chunk", "ids"])
-
-    return run
-
-
-def _frames(path: str, end_id: int, freq: np.ndarray, hot: dict[str, bytes]):
+def _frames(dtype: str, freq: np.ndarray):
     def run(batches):
         from pyspark import TaskContext
 
-        pieces, coder, part = Pieces.load(path), Coder(freq), TaskContext.get().partitionId()
-        end, block, start = np.array([end_id], "<u4").tobytes(), 0, 0
+        coder, part, width = Coder(freq), TaskContext.get().partitionId(), np.dtype(dtype).itemsize
+        block, start = 0, 0
         keys: list = []
-        lengths: list[int] = []
         held: list[bytes] = []
         size = 0
 
         def out():
-            nonlocal block, start, keys, lengths, held, size
-            ids = np.frombuffer(b"".join(held), "<u4")
+            nonlocal block, start, keys, held, size
+            ids = np.frombuffer(b"".join(held), dtype).astype(np.uint32)
+            lengths = [len(h) // width for h in held]
             row = pa.RecordBatch.from_pylist([{"part": part, "block": block, "start_in_part": start, "n_tokens": len(ids), "n_docs": len(keys), "frame": pack(coder, keys, lengths, ids)}], FRAME)
-            block, start, keys, lengths, held, size = block + 1, start + len(ids), [], [], [], 0
+            block, start, keys, held, size = block + 1, start + len(ids), [], [], 0
             return row
 
         for batch in batches:
-            docs, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-            for lo in range(0, len(docs), 1000):
-                for doc, ids in zip(docs[lo : lo + 1000], pieces.encode_many(texts[lo : lo + 1000].to_pylist(), hot)):
-                    keys.append(doc)
-                    held += (ids, end)
-                    lengths.append(len(ids) // 4 + 1)
-                    size += lengths[-1]
-                    if size >= TARGET:
-                        yield out()
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
+                keys.append(doc)
+                held.append(ids.as_py())
+                size += len(held[-1]) // width
+                if size >= TARGET:
+                    yield out()
         if keys:
             yield out()
 
@@ -268,25 +236,27 @@ def _read(freq: np.ndarray, offsets: dict[int, int]):
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int) -> None:
     """Writes the store: ids of every whole text (null: empty) with end_id after each, in ascending doc_id.
 
-    Null doc_ids come first; rows with the same doc_id stand in order of their text. The frequency table
-    counts every token of the corpus: runs without white space are counted, and each distinct one is
-    encoded once. The driver gets one row for each token of the vocabulary at most.
+    Null doc_ids come first; rows with the same doc_id stand in order of their text's xxhash64. Each text is
+    encoded once, into a table of ids; the frequency table counts every token of it. The driver gets one row for each
+    token of the vocabulary at most.
     """
     spark = docs.sparkSession
+    tables = Tables(spark, "ids")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chunks = rows.select("text").mapInArrow(_chunks(path), "chunk string, n long").groupBy("chunk").agg(F.sum("n").alias("n"))
-    chunks = written(chunks, "chunks")
-    hot = {r["chunk"]: bytes(r["ids"]) for r in most_frequent(chunks, "n", HOT).select("chunk").mapInArrow(_ids_of_chunks(path), "chunk string, ids binary").collect()}
-    counted = chunks.mapInArrow(_histogram(path), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = rows.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    coded = tables.written(rows.mapInArrow(_encode(path, end_id), "doc_id long, th long, row long, ids binary"), "ids")
+    dtype = Pieces.load(path).dtype
+    counted = coded.select("ids").mapInArrow(_histogram(dtype), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max([end_id, *(r["token"] for r in counted)]) + 1, np.int64)
     for r in counted:
         counts[r["token"]] = r["n"]
-    counts[end_id] += rows.count()
     freq = normalised(counts)
     used = np.flatnonzero(freq)
     spark.createDataFrame(list(zip(used.tolist(), freq[used].tolist())), "token long, freq long").coalesce(1).write.parquet(f"{out}/table")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_frames(path, end_id, freq, hot), "part long, block long, start_in_part long, n_tokens long, n_docs long, frame binary").write.parquet(f"{out}/frames")
+    # rows of one doc_id, or of none, may lie in several parts
+    ordered = coded.repartitionByRange("doc_id", "th", "row").sortWithinPartitions("doc_id", "th", "row").select("doc_id", "ids")
+    ordered.mapInArrow(_frames(dtype, freq), "part long, block long, start_in_part long, n_tokens long, n_docs long, frame binary").write.parquet(f"{out}/frames")
+    remove(spark, tables.path)
 
 
 def read_frequencies(spark: SparkSession, out: str) -> np.ndarray:

@@ -11,9 +11,28 @@ from array import array
 PLAIN = re.compile("[\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa0-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f\\u2013-\\u201e]*")
 #: The word pattern of the lower-casing BPE (a fixed value of that vocabulary), and the same for PLAIN texts.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PLAIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|(?:[^\s\w]|_)+")
+# its branches begin with different characters, but for the last two; the most frequent one is tried first
+PLAIN_WORDS = re.compile(r"[^\W\d_]+|[0-9]|'(?:[stmd]|re|ve|ll)|(?:[^\s\w]|_)+")
 
-CACHED = 300_000
+#: Pre-tokens after which a worker begins a new generation of known ids; it keeps two, about 80 MB.
+CACHED = 250_000
+
+
+class _Learned(dict):
+    """A cache that makes what it lacks. `trim`, called between texts, leaves what was used since the last full one."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.old.get(key) or self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > CACHED:
+            self.old = dict(self)
+            self.clear()
 
 
 class Pieces:
@@ -41,7 +60,11 @@ class Pieces:
         pre = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.spaced = (pre[0].get("pattern") or {}).get("Regex") == WORD_PATTERN and pre[0].get("invert") and pre[0].get("behavior") == "Removed" and [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.vocab_size = self.tok.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
+        self.tokenize = self.tok.model.tokenize
+        #: Ids are little-endian unsigned numbers of 16 bits if the vocabulary allows it, else of 32.
+        self.dtype = "<u2" if self.vocab_size <= 1 << 16 else "<u4"
+        self.code = {"<u2": "H", "<u4": "I"}[self.dtype]
+        self.words = _Learned(lambda w: array(self.code, self.ids([w])[0]).tobytes())
         # the byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
@@ -82,53 +105,18 @@ class Pieces:
         """Ids of each distinct pre-token, each as if it stood alone."""
         if not self.spaced:
             return [e.ids for e in self.tok.encode_batch(words, add_special_tokens=False)] if words else []
-        tokenize, byte = self.tok.model.tokenize, self.byte
+        tokenize, byte = self.tokenize, self.byte
         return [[t.id for t in tokenize(w if w.isascii() and w.isprintable() else "".join([byte[b] for b in w.encode()]))] for w in words]
 
-    def learn(self, words) -> None:
-        """Put the ids of new pre-tokens into the bounded cache, as little-endian uint32."""
-        if len(self.cache) > CACHED:
-            self.cache.clear()
-        new = [w for w in words if w not in self.cache]
-        for w, ids in zip(new, self.ids(new)):
-            self.cache[w] = array("I", ids).tobytes()
-
-    def chunks_of(self, text: str | None) -> list[str] | None:
-        """Runs without white space, across which no pre-token reaches; None where the text needs the library."""
-        if not text:
-            return []
-        if self.spaced and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return text.split()
-        return None
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.of(t) for t in texts]
-        self.learn(set().union(*(w for w, _ in cut)))
-        get = self.cache.__getitem__
-        out = []
-        for words, found in cut:
-            if not found:
-                out.append(b"".join(map(get, words)))
-                continue
-            parts, at = [], 0
-            for place, i in found:
-                parts += map(get, words[at:place])
-                parts.append(array("I", [i]).tobytes())
-                at = place
-            out.append(b"".join([*parts, *map(get, words[at:])]))
-        return out
-
-    def encode_many(self, texts: list[str | None], hot: dict[str, bytes]) -> list[bytes]:
-        """Ids of whole texts as little-endian uint32 bytes. hot: frequent chunks and their ids; it is left as it was."""
-        cut = [self.chunks_of(t) for t in texts]
-        new = set().union(*(c for c in cut if c)) - hot.keys()
-        split = [PLAIN_WORDS.findall(c.lower()) for c in new]
-        self.learn({w for words in split for w in words})
-        one = self.cache.__getitem__
-        hot.update(zip(new, [b"".join(map(one, words)) for words in split]))
-        odd = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
-        get = hot.__getitem__
-        out = [next(odd) if c is None else b"".join(map(get, c)) for c in cut]
-        for c in new:
-            del hot[c]
-        return out
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a whole text, as numbers of dtype."""
+        self.words.trim()
+        words, found = self.of(text)
+        if not found:
+            return b"".join(map(self.words.__getitem__, words))
+        parts, at = [], 0
+        for place, i in found:
+            parts += map(self.words.__getitem__, words[at:place])
+            parts.append(array(self.code, [i]).tobytes())
+            at = place
+        return b"".join([*parts, *map(self.words.__getitem__, words[at:])])
