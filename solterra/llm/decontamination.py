@@ -97,9 +97,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.join(found.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.xxhash64(F.col("text").cast("string")) == F.col(t)), "left_anti")
 
 
-# The SQL still asks for a hit of the masks that stood here before, and so finds less than the operator.
-_SQL_MASKS = ("11011011", "10110111", "11101101")
-_HIT = " OR ".join("(" + " AND ".join(f"same[k + {i}] = 1" for i, bit in enumerate(m) if bit == "1") + ")" for m in _SQL_MASKS)
+#: The overlap rule alone, without seeds.
 SQL = f"""
 WITH t AS (SELECT item_id, list_filter(string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS iw FROM benchmark WHERE text IS NOT NULL),
 i AS (SELECT * FROM t WHERE len(iw) >= {SPAN}),
@@ -108,8 +106,7 @@ iw AS (SELECT item_id, unnest(iw) AS w, generate_subscripts(iw, 1) AS ip FROM i)
 dw AS (SELECT doc_id, unnest(dw) AS w, generate_subscripts(dw, 1) AS dp FROM d),
 c AS (SELECT doc_id, item_id, dp - ip AS shift FROM iw JOIN dw USING (w) GROUP BY ALL HAVING count(*) >= 5),
 s AS (SELECT c.doc_id, c.item_id, [CASE WHEN c.shift + k >= 1 AND d.dw[c.shift + k] = i.iw[k] THEN 1 ELSE 0 END for k in generate_series(1, len(i.iw))] AS same FROM c JOIN i USING (item_id) JOIN d USING (doc_id)),
-m AS (SELECT DISTINCT doc_id, item_id FROM s WHERE len(list_filter(generate_series(1, len(same) - {SPAN - 1}), lambda k: {_HIT})) > 0
- AND len(list_filter(generate_series(1, greatest(1, len(same) - {WINDOW - 1})), lambda k: list_sum(same[k:k + {WINDOW - 1}]) >= ceil(least(len(same), {WINDOW}) * {SHARE}))) > 0),
+m AS (SELECT DISTINCT doc_id, item_id FROM s WHERE len(list_filter(generate_series(1, greatest(1, len(same) - {WINDOW - 1})), lambda k: list_sum(same[k:k + {WINDOW - 1}]) >= ceil(least(len(same), {WINDOW}) * {SHARE}))) > 0),
 g AS (SELECT doc_id, count(*) AS n, list_sort(list(item_id)) AS items FROM m GROUP BY doc_id)
 SELECT doc_id, g.doc_id IS NOT NULL AS contaminated, coalesce(n, 0)::BIGINT AS n_items, coalesce(array_to_string(items, ','), '') AS items FROM documents LEFT JOIN g USING (doc_id)
 """
