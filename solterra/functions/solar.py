@@ -62,8 +62,8 @@ def limit_degrees(x: Column) -> Column:
 
 
 def julian_day(ts: Column) -> Column:
-    """From a timestamp, whole seconds."""
-    return F.unix_seconds(ts) / 86400.0 + 2440587.5
+    """From a timestamp, whole seconds; one without zone is taken in the session's zone, which is to be UTC."""
+    return F.unix_seconds(ts.cast("timestamp")) / 86400.0 + 2440587.5
 
 
 def calendar_julian_day(year: Column, month: Column, day: Column) -> Column:
@@ -94,7 +94,7 @@ def geocentric(times: DataFrame, mode: str = "reference", terms: DataFrame | Non
     spark = times.sparkSession
     terms = terms if terms is not None else terms_table(spark)
     ts = F.col("ts")
-    year = F.round(1970 + F.unix_seconds(ts) / (365.25 * 86400.0)).cast("int")
+    year = F.round(1970 + F.unix_seconds(ts.cast("timestamp")) / (365.25 * 86400.0)).cast("int")
     t = times.select("ts").where(ts.isNotNull()).distinct().withColumn("jd", julian_day(ts))
     t = t.withColumn("jde", F.col("jd") + (F.lit(float(dt)) if dt is not None else delta_t(year, mode)) / 86400.0)
     t = t.withColumn("jce", (F.col("jde") - 2451545.0) / 36525.0).withColumn("jme", F.col("jce") / 10)
@@ -118,18 +118,21 @@ def geocentric(times: DataFrame, mode: str = "reference", terms: DataFrame | Non
     return t.select("ts", "jd", (sidereal + F.col("psi") * F.cos(e)).alias("nu"), alpha.alias("alpha"), declination.alias("declination"), (8.794 / (3600 * F.col("R"))).alias("parallax"))
 
 
-def topocentric(lat: Column, lon: Column, masl: Column) -> tuple[Column, Column]:
-    """(azimuth, elevation) in degrees from geocentric's columns; azimuth clockwise from north, no refraction."""
-    phi, h, d, xi = F.radians(lat), F.radians(limit_degrees(F.col("nu") + lon - F.col("alpha"))), F.radians("declination"), F.radians("parallax")
-    u = F.atan(0.99664719 * F.tan(phi))
-    x = F.cos(u) + masl * F.cos(phi) / 6378140.0
-    y = 0.99664719 * F.sin(u) + masl * F.sin(phi) / 6378140.0
-    da = F.atan2(-x * F.sin(xi) * F.sin(h), F.cos(d) - x * F.sin(xi) * F.cos(h))
-    d1 = F.atan2((F.sin(d) - y * F.sin(xi)) * F.cos(da), F.cos(d) - x * F.sin(xi) * F.cos(h))
-    h1 = h - da
-    elevation = F.degrees(F.asin(F.sin(phi) * F.sin(d1) + F.cos(phi) * F.cos(d1) * F.cos(h1)))
-    azimuth = limit_degrees(F.degrees(F.atan2(F.sin(h1), F.cos(h1) * F.sin(phi) - F.tan(d1) * F.cos(phi))) + 180)
-    return azimuth, elevation
+def topocentric(rows: DataFrame) -> DataFrame:
+    """Adds azimuth and elevation in degrees to rows with lat, lon, masl and geocentric's columns; azimuth clockwise from north, no refraction.
+
+    Each step is a projection of its own, as every one is used more than once by the next.
+    """
+    c = F.col
+    rows = rows.withColumns({"_phi": F.radians("lat"), "_h": F.radians(limit_degrees(c("nu") + c("lon") - c("alpha"))), "_d": F.radians("declination"), "_xi": F.sin(F.radians("parallax"))})
+    rows = rows.withColumn("_u", F.atan(0.99664719 * F.tan("_phi")))
+    rows = rows.withColumns({"_x": F.cos("_u") + c("masl") * F.cos("_phi") / 6378140.0, "_y": 0.99664719 * F.sin("_u") + c("masl") * F.sin("_phi") / 6378140.0})
+    rows = rows.withColumn("_below", F.cos("_d") - c("_x") * c("_xi") * F.cos("_h"))
+    rows = rows.withColumn("_da", F.atan2(-c("_x") * c("_xi") * F.sin("_h"), c("_below")))
+    rows = rows.withColumns({"_d1": F.atan2((F.sin("_d") - c("_y") * c("_xi")) * F.cos("_da"), c("_below")), "_h1": c("_h") - c("_da")})
+    elevation = F.degrees(F.asin(F.sin("_phi") * F.sin("_d1") + F.cos("_phi") * F.cos("_d1") * F.cos("_h1")))
+    azimuth = limit_degrees(F.degrees(F.atan2(F.sin("_h1"), F.cos("_h1") * F.sin("_phi") - F.tan("_d1") * F.cos("_phi"))) + 180)
+    return rows.withColumns({"azimuth": azimuth, "elevation": elevation})
 
 
 def refraction(e0: Column, pressure: Column, temperature: Column) -> Column:
@@ -146,11 +149,10 @@ def incidence(zenith: Column, azimuth: Column, tilt: Column, rotation: Column) -
 def positions(observers: DataFrame, times: DataFrame, **options) -> DataFrame:
     """observers' columns (lat, lon, masl among them), ts, azimuth, elevation: every observer at every distinct time."""
     geo = geocentric(times, **options)
-    az, el = topocentric(F.col("lat"), F.col("lon"), F.col("masl"))
     # the times are the small side; a broadcast only if their number is small
     few = times.select("ts").distinct().limit(20_001).count() <= 20_000
     rows = observers.join(F.broadcast(geo) if few else geo, how="cross")
-    return rows.select(*observers.columns, "ts", az.alias("azimuth"), el.alias("elevation"))
+    return topocentric(rows).select(*observers.columns, "ts", "azimuth", "elevation")
 
 
 def sun_vector(azimuth: Column, elevation: Column) -> tuple[Column, Column, Column]:

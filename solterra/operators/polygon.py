@@ -75,10 +75,16 @@ def clip_to_box(polygon: DataFrame, xa: float, ya: float, xz: float, yz: float)
 
         return F.flatten(F.transform(pts, step))
 
+    def clipped(c: str, bound: float, above: bool):
+        return lambda a: cut(a, c, bound, above)
+
     rings = polygon.select("poly_id", F.explode("rings").alias("r")).select("poly_id", "r.part", "r.hole", "r.pts")
-    for c, bound, above in (("x", xa, True), ("x", xz, False), ("y", ya, True), ("y", yz, False)):
-        rings = rings.withColumn("pts", cut(F.col("pts"), c, bound, above))
-    rings = rings.where(F.size("pts") >= 3)
+    pts = F.col("pts")
+    for side in (("x", xa, True), ("x", xz, False), ("y", ya, True), ("y", yz, False)):
+        # a lambda's variable, so that each cut evaluates the one before once
+        pts = F.flatten(F.transform(F.array(pts), clipped(*side)))
+    rings = rings.select("poly_id", "part", "hole", pts.alias("pts")).groupBy("poly_id", "part", "hole").agg(F.collect_list("pts").alias("pts"))
+    rings = rings.select("poly_id", "part", "hole", F.explode("pts").alias("pts")).where(F.size("pts") >= 3)
     return rings.groupBy("poly_id").agg(F.sort_array(F.collect_list(F.struct("part", "hole", "pts"))).alias("rings"))
 
 

@@ -77,6 +77,20 @@ def crop(raster: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataF
     return rows.withColumn("n_rows", F.col("i1") - F.col("i0")).withColumn("n_cols", F.col("j1") - F.col("j0")).drop("i0", "i1", "j0", "j1")
 
 
+def located(points: DataFrame, raster: DataFrame, cell: float) -> DataFrame:
+    """points' and raster's columns for each point and each raster whose rectangle holds it, edges included.
+
+    They meet by an equi-join on the grid cells that a rectangle covers; cell should be about a raster's size.
+    """
+    def at(v: Column) -> Column:
+        return F.floor(v / cell)
+
+    near = raster.withColumn("gx", F.explode(F.sequence(at(F.col("x_min")), at(x_max())))).withColumn("gy", F.explode(F.sequence(at(y_min()), at(F.col("y_max")))))
+    p = points.withColumns({"gx": at(F.col("x")), "gy": at(F.col("y"))})
+    holds = F.col("x").between(F.col("x_min"), x_max()) & F.col("y").between(y_min(), F.col("y_max"))
+    return p.join(near, ["gx", "gy"]).where(holds).drop("gx", "gy")
+
+
 def selected(raster: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
     """Rasters whose rectangle intersects a bounding box and does more than touch it."""
     return raster.where((x_max() > x0) & (F.col("x_min") < x1) & (F.col("y_max") > y0) & (y_min() < y1))

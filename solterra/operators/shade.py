@@ -40,23 +40,15 @@ def prepared(gathered: DataFrame) -> DataFrame:
     return centers(normals(gathered, upward=False))
 
 
-def shaded_by_vector(gathered: DataFrame, direction: tuple[float, float, float]) -> DataFrame:
-    """mesh_id, fid, shaded under one sun vector. Faces turned away are decided before the join."""
-    faces = prepared(gathered)
-    d = tuple(map(F.lit, direction))
-    back = F.coalesce(_back(*d), F.lit(False))
-    open_ = faces.where(~back).select("mesh_id", "fid", "cx", "cy", "cz")
-    hit = open_.join(_occluders(gathered), "mesh_id").where((F.col("fid") != F.col("ofid")) & _hits(*d)).select("mesh_id", "fid").distinct().withColumn("hit", F.lit(True))
-    return faces.select("mesh_id", "fid", back.alias("back")).join(hit, ["mesh_id", "fid"], "left").select("mesh_id", "fid", (F.col("back") | F.coalesce("hit", F.lit(False))).alias("shaded"))
-
+def _struck(rays: DataFrame, gathered: DataFrame, bucket: float) -> DataFrame:
+    """The rows of rays(mesh_id, fid, ..., cx, cy, cz, dx, dy, dz) that meet another face of their mesh: columns before cx, distinct.
 
-def shaded_bucketed(gathered: DataFrame, direction: tuple[float, float, float], bucket: float) -> DataFrame:
-    """As shaded_by_vector. Triangles are put into the square buckets that their bounding box covers, rays
-    into those that their ground track crosses below the mesh's top; a ray meets only what shares a bucket."""
-    faces, d = prepared(gathered), tuple(map(F.lit, direction))
-    dx, dy, dz = direction
-    flat = (dx * dx + dy * dy) ** 0.5
-    back = F.coalesce(_back(*d), F.lit(False))
+    Triangles are put into the square buckets that their bounding box covers, rays into those that their ground track
+    crosses below the mesh's top; a ray meets only what shares a bucket.
+    """
+    slack = 1e-6 * bucket
+    keys = [c for c in rays.columns if c not in ("cx", "cy", "cz", "dx", "dy", "dz")]
+    d = (F.col("dx"), F.col("dy"), F.col("dz"))
 
     def cell(v: Column) -> Column:
         return F.floor(v / bucket)
@@ -66,33 +58,53 @@ def shaded_bucketed(gathered: DataFrame, direction: tuple[float, float, float],
     occ = _occluders(gathered)
     occ = occ.withColumn("bx", F.explode(F.sequence(cell(lo["x"]), cell(hi["x"])))).withColumn("by", F.explode(F.sequence(cell(lo["y"]), cell(hi["y"]))))
     tops = gathered.groupBy("mesh_id").agg(F.max(F.greatest("z0", "z1", "z2")).alias("top"), *(f(g(*(f"{c}{k}" for k in range(3)))).alias(n) for n, f, g, c in (("xa", F.min, F.least, "x"), ("xz", F.max, F.greatest, "x"), ("ya", F.min, F.least, "y"), ("yz", F.max, F.greatest, "y"))))
-    rays = faces.where(~back).select("mesh_id", "fid", "cx", "cy", "cz").join(tops, "mesh_id")
+    rays = rays.join(tops, "mesh_id").withColumn("flat", F.sqrt(d[0] * d[0] + d[1] * d[1]))
     # ground distance to the mesh's top, and to its edge
-    reach = F.when(F.lit(dz > 0), (F.col("top") - F.col("cz")) * (flat / dz if dz > 0 else 0.0)).otherwise(F.lit(1e300))
+    reach = F.when(d[2] > 0, (F.col("top") - F.col("cz")) * F.col("flat") / d[2]).otherwise(F.lit(1e300))
     edge = F.sqrt(F.pow(F.col("xz") - F.col("xa"), 2) + F.pow(F.col("yz") - F.col("ya"), 2))
-    reach = F.greatest(F.least(reach, edge), F.lit(0.0)) + 1e-6
-    # half-bucket steps with a margin of one bucket on each side cover every bucket of the track
-    steps = F.sequence(F.lit(0), F.ceil(reach / (bucket / 2)).cast("int"))
-    ux, uy = (dx / flat, dy / flat) if flat else (0.0, 0.0)
-    at = F.transform(steps, lambda s: F.struct(cell(F.col("cx") + F.least(s * (bucket / 2), reach) * ux).alias("bx"), cell(F.col("cy") + F.least(s * (bucket / 2), reach) * uy).alias("by")))
-    near = F.flatten(F.transform(at, lambda b: F.array(*(F.struct((b["bx"] + i).alias("bx"), (b["by"] + j).alias("by")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
-    rays = rays.select("mesh_id", "fid", "cx", "cy", "cz", F.explode(F.array_distinct(near)).alias("b")).select("mesh_id", "fid", "cx", "cy", "cz", "b.bx", "b.by")
-    hit = rays.join(occ, ["mesh_id", "bx", "by"]).where((F.col("fid") != F.col("ofid")) & _hits(*d)).select("mesh_id", "fid").distinct().withColumn("hit", F.lit(True))
+    rays = rays.withColumn("reach", F.greatest(F.least(reach, edge), F.lit(0.0)) + 1e-6)
+    ux, uy = (F.coalesce(F.try_divide(c, F.col("flat")), F.lit(0.0)) for c in d[:2])
+    rays = rays.select(*keys, "cx", "cy", "cz", "dx", "dy", "dz", "reach", ux.alias("ux"), uy.alias("uy"))
+    rays = rays.withColumns({"ex": F.col("cx") + F.col("reach") * F.col("ux"), "ey": F.col("cy") + F.col("reach") * F.col("uy")})
+    # the track in each column of buckets that it crosses, a little longer than it is
+    rays = rays.withColumn("bx", F.explode(F.sequence(cell(F.least("cx", "ex") - slack), cell(F.greatest("cx", "ex") + slack))))
+    low, high = F.least("cy", "ey"), F.greatest("cy", "ey")
+
+    def height(x: Column) -> Column:
+        y = F.col("cy") + (F.least(F.greatest(x, F.least("cx", "ex")), F.greatest("cx", "ex")) - F.col("cx")) * F.try_divide(F.col("uy"), F.col("ux"))
+        return F.least(F.greatest(y, low), high)
+
+    enter, leave = height(F.col("bx") * bucket - slack), height((F.col("bx") + 1) * bucket + slack)
+    steep = F.abs("ux") < 1e-9
+    rays = rays.withColumns({"ya": F.when(steep, low).otherwise(F.least(enter, leave)), "yz": F.when(steep, high).otherwise(F.greatest(enter, leave))})
+    rays = rays.select(*keys, "cx", "cy", "cz", "dx", "dy", "dz", "bx", F.explode(F.sequence(cell(F.col("ya") - slack), cell(F.col("yz") + slack))).alias("by"))
+    return rays.join(occ, ["mesh_id", "bx", "by"]).where((F.col("fid") != F.col("ofid")) & _hits(*d)).select(*keys).distinct()
+
+
+def shaded_by_vector(gathered: DataFrame, direction: tuple[float, float, float], bucket: float) -> DataFrame:
+    """mesh_id, fid, shaded under one sun vector. Faces turned away are decided before the join.
+
+    bucket: side of the square buckets in which rays meet faces, about twice a face's size.
+    """
+    faces = prepared(gathered)
+    d = tuple(map(F.lit, direction))
+    back = F.coalesce(_back(*d), F.lit(False))
+    rays = faces.where(~back).select("mesh_id", "fid", "cx", "cy", "cz", *(c.alias(f"d{n}") for n, c in zip("xyz", d)))
+    hit = _struck(rays, gathered, bucket).withColumn("hit", F.lit(True))
     return faces.select("mesh_id", "fid", back.alias("back")).join(hit, ["mesh_id", "fid"], "left").select("mesh_id", "fid", (F.col("back") | F.coalesce("hit", F.lit(False))).alias("shaded"))
 
 
-def shaded_at(gathered: DataFrame, times: DataFrame, lon: Column, lat: Column, **options) -> DataFrame:
+def shaded_at(gathered: DataFrame, times: DataFrame, lon: Column, lat: Column, bucket: float, **options) -> DataFrame:
     """mesh_id, fid, ts, shaded: each face under its own sun. lon, lat: columns of the centroid (cx, cy) in degrees.
 
-    Below the horizon or turned away is shade; only the rest enters the join with the mesh's other faces.
+    Below the horizon or turned away is shade; only the rest meets other faces, in buckets as in shaded_by_vector.
     """
     faces = prepared(gathered).withColumns({"lon": lon, "lat": lat, "masl": F.col("cz")})
     suns = solar.positions(faces.select("mesh_id", "fid", "cx", "cy", "cz", "nx", "ny", "nz", "lon", "lat", "masl"), times, **options)
     dx, dy, dz = solar.sun_vector(F.col("azimuth"), F.col("elevation"))
     suns = suns.withColumns({"dx": dx, "dy": dy, "dz": dz})
-    d = (F.col("dx"), F.col("dy"), F.col("dz"))
-    suns = suns.withColumn("decided", (F.col("elevation") < 0) | F.coalesce(_back(*d), F.lit(False)))
-    hit = suns.where(~F.col("decided")).join(_occluders(gathered), "mesh_id").where((F.col("fid") != F.col("ofid")) & _hits(*d)).select("mesh_id", "fid", "ts").distinct().withColumn("hit", F.lit(True))
+    suns = suns.withColumn("decided", (F.col("elevation") < 0) | F.coalesce(_back(F.col("dx"), F.col("dy"), F.col("dz")), F.lit(False)))
+    hit = _struck(suns.where(~F.col("decided")).select("mesh_id", "fid", "ts", "cx", "cy", "cz", "dx", "dy", "dz"), gathered, bucket).withColumn("hit", F.lit(True))
     return suns.select("mesh_id", "fid", "ts", "decided").join(hit, ["mesh_id", "fid", "ts"], "left").select("mesh_id", "fid", "ts", (F.col("decided") | F.coalesce("hit", F.lit(False))).alias("shaded"))
 
 

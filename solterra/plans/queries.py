@@ -41,7 +41,7 @@ def _mesh(spark, sf):
 
 
 def _corners(spark, sf):
-    return mesh.corners(*_mesh(spark, sf))
+    return mesh.grid_corners(v.raster(spark, sf))
 
 
 def _sloped(spark, sf):
@@ -61,12 +61,11 @@ def raster_exterior(spark, sf):
 
 _AT = f"""WITH {v.RASTER}, {v.POINTS},
 loc AS (SELECT p.pid, p.x, p.y, r.*, least(greatest(trunc((y_max - p.y) / dy), 0), n_rows - 1)::INT AS i, least(greatest(trunc((p.x - x_min) / dx), 0), n_cols - 1)::INT AS j
- FROM points p JOIN raster r ON r.raster_id = p.pid % 500)"""
+ FROM points p JOIN raster r ON p.x BETWEEN x_min AND x_min + 7 AND p.y BETWEEN y_max - (n_rows - 1) AND y_max)"""
 
 
 def _at(spark, sf):
-    p = v.points(spark, sf).withColumn("rid", F.col("pid") % 500)
-    return p.join(v.raster(spark, sf), F.col("rid") == F.col("raster_id"))
+    return ras.located(v.points(spark, sf), v.raster(spark, sf), 7.0)
 
 
 @query(f"{_AT} SELECT pid, raster_id, i, j FROM loc")
@@ -75,11 +74,10 @@ def get_indices(spark, sf):
     return _at(spark, sf).select("pid", "raster_id", i.alias("i"), j.alias("j"))
 
 
-@query(f"""{_AT} SELECT pid, round((1 - w) * ((1 - u) * vals[i * n_cols + j + 1] + u * vals[i * n_cols + j1 + 1]) + w * ((1 - u) * vals[i1 * n_cols + j + 1] + u * vals[i1 * n_cols + j1 + 1]), 6) + 0.0 AS z
- FROM (SELECT *, least(i + 1, n_rows - 1) AS i1, least(j + 1, n_cols - 1) AS j1, (x - x_min) / dx - j AS u, (y_max - y) / dy - i AS w FROM loc WHERE abs(x - x_min) < 50 AND abs(y - y_max) < 50)""")
+@query(f"""{_AT} SELECT pid, raster_id, round((1 - w) * ((1 - u) * vals[i * n_cols + j + 1] + u * vals[i * n_cols + j1 + 1]) + w * ((1 - u) * vals[i1 * n_cols + j + 1] + u * vals[i1 * n_cols + j1 + 1]), 6) + 0.0 AS z
+ FROM (SELECT *, least(i + 1, n_rows - 1) AS i1, least(j + 1, n_cols - 1) AS j1, (x - x_min) / dx - j AS u, (y_max - y) / dy - i AS w FROM loc)""")
 def bilinear(spark, sf):
-    near = _at(spark, sf).where((F.abs(F.col("x") - F.col("x_min")) < 50) & (F.abs(F.col("y") - F.col("y_max")) < 50))
-    return near.select("pid", r6(ras.bilinear(F.col("x"), F.col("y")), "z"))
+    return _at(spark, sf).select("pid", "raster_id", r6(ras.bilinear(F.col("x"), F.col("y")), "z"))
 
 
 @query(f"{_AT} SELECT pid, raster_id, x > x_min + 1e-10 * sqrt(2.0::DOUBLE) AND x < x_min + 7 - 1e-10 * sqrt(2.0::DOUBLE) AND y > y_max - (n_rows - 1) + 1e-10 * sqrt(2.0::DOUBLE) AND y < y_max - 1e-10 * sqrt(2.0::DOUBLE) AS inside FROM loc")
@@ -331,19 +329,21 @@ _SHADE = f"WITH {v.CORNERS}, {_RAY} SELECT own.mesh_id, own.fid, back OR hit.fid
 
 @query(_SHADE)
 def shade_vector(spark, sf):
-    return shade.shaded_by_vector(_corners(spark, sf), _SUN)
+    return shade.shaded_by_vector(_corners(spark, sf), _SUN, 2.0)
 
 
-@query(_SHADE)
-def shade_bucketed(spark, sf):
-    return shade.shaded_bucketed(_corners(spark, sf), _SUN, 2.0)
+@query(f"WITH {v.CORNERS} SELECT mesh_id, fid, v0, v1, v2, {q6('x0', 'y0', 'z0', 'x1', 'y1', 'z1', 'x2', 'y2', 'z2')} FROM corners")
+def gathered_corners(spark, sf):
+    """Of meshes in general: vertices gathered by a join."""
+    rows = mesh.corners(*_mesh(spark, sf))
+    return rows.select("mesh_id", "fid", "v0", "v1", "v2", *(r6(f"{c}{k}") for k in range(3) for c in "xyz"))
 
 
 @query()
 def shade_time(spark, sf):
     """Three hours of a day over every raster; centroids are placed 0.01 degree apart around (10, 60)."""
     hours = spark.sql("SELECT explode(sequence(timestamp'2024-01-15 10:00:00', timestamp'2024-01-15 12:00:00', interval 1 hour)) AS ts")
-    return shade.shaded_at(_corners(spark, sf), hours, 10 + F.col("cx") / 100, 60 + F.col("cy") / 100)
+    return shade.shaded_at(_corners(spark, sf), hours, 10 + F.col("cx") / 100, 60 + F.col("cy") / 100, 2.0)
 
 
 @query("SELECT o_orderkey, unnest(generate_series(o_orderdate, o_orderdate + INTERVAL 2 HOUR, INTERVAL 30 MINUTE)) AS ts FROM orders")

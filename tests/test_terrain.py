@@ -94,9 +94,9 @@ def test_shadow_of_a_wall_has_its_length(spark):
     g = mesh.corners(mesh.grid_vertices(r), mesh.grid_faces(r))
     sun = solar.vector_of(270.0, 45.0)
     far = mesh.centers(g).select("mesh_id", "fid", "cx")
-    got = shade.shaded_by_vector(g, sun).join(far, ["mesh_id", "fid"]).collect()
+    got = shade.shaded_by_vector(g, sun, 2.0).join(far, ["mesh_id", "fid"]).collect()
     assert all(x["shaded"] == (4 < x["cx"] < 6) for x in got if x["cx"] > 5)
-    assert {(x["fid"], x["shaded"]) for x in got} == {(x["fid"], x["shaded"]) for x in shade.shaded_bucketed(g, sun, 1.5).collect()}
+    assert {(x["fid"], x["shaded"]) for x in got} == {(x["fid"], x["shaded"]) for x in shade.shaded_by_vector(g, sun, 0.7).collect()} == {(x["fid"], x["shaded"]) for x in shade.shaded_by_vector(g, sun, 100.0).collect()}
 
 
 def test_point_in_polygon_with_hole_and_wkt(spark):
@@ -119,3 +119,33 @@ def test_registered_queries_run(spark, name):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_corners_of_a_grid_are_those_of_its_mesh(spark):
+    r = one_raster(spark, [[float(i * i + 3 * j) for j in range(5)] for i in range(4)], y_max=3.0)
+    general = mesh.corners(mesh.grid_vertices(r), mesh.grid_faces(r))
+    grid = mesh.grid_corners(r)
+    cols = sorted(general.columns)
+    assert sorted(map(tuple, grid.select(cols).collect())) == sorted(map(tuple, general.select(cols).collect()))
+
+
+def test_shade_in_every_direction_does_not_depend_on_the_buckets(spark):
+    r = one_raster(spark, [[float((i * 7 + j * j * 3) % 5) for j in range(7)] for i in range(6)], y_max=5.0)
+    g = mesh.grid_corners(r)
+    for azimuth in (0.0, 45.0, 90.0, 133.0, 180.0, 251.0, 270.0):
+        sun = solar.vector_of(azimuth, 25.0)
+        each = [sorted(map(tuple, shade.shaded_by_vector(g, sun, b).collect())) for b in (0.6, 50.0)]
+        assert each[0] == each[1]
+
+
+def test_points_lie_in_every_raster_that_holds_them(spark):
+    r = one_raster(spark, [[float(j) for j in range(8)] for _ in range(8)], y_max=7.0)
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 7.0, 7.0), (3, 3.5, 2.25), (4, 7.1, 3.0), (5, -0.1, 3.0)], "pid long, x double, y double")
+    for cell in (1.0, 7.0, 100.0):
+        assert {x["pid"] for x in raster.located(pts, r, cell).collect()} == {1, 2, 3}
+
+
+def test_clip_cuts_corners(spark):
+    p = polygon.from_wkt(spark.createDataFrame([(1, "POLYGON ((0 0, 10 0, 0 10, 0 0))"), (2, "POLYGON ((50 50, 51 50, 50 51, 50 50))")], "poly_id long, wkt string"))
+    rows = polygon.clip_to_box(p, 1.0, 1.0, 6.0, 20.0).select("poly_id", F.explode("rings").alias("r")).select("poly_id", F.abs(polygon.signed_area(F.col("r.pts"))).alias("a")).collect()
+    assert [(x["poly_id"], round(x["a"], 9)) for x in rows] == [(1, 27.5)]  # 32 less 4.5 beyond x = 6
