@@ -26,7 +26,12 @@ def held_out(doc_id):
 
 
 def _words(text: str | None) -> list[str]:
-    return re.findall(r"[^\W\d_]+", text.lower()) if text else []
+    """Runs of letters, in lower case."""
+    found = re.findall(r"[^\W\d_]+", text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # numbers such as superscripts and fractions count as word characters too
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
 
 
 def _grams(word: str) -> list[str]:

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Labelled documents the classifier is fitted on at most, those with the smallest hashes of their doc_id; domains.
-SAMPLE, DOMAINS = 6000, 32
+#: Labelled documents the classifier is fitted on at most, those with the smallest hashes of their doc_id.
+SAMPLE = 6000
 STEPS = 60
 #: A feature is a word or its first k letters; one of fewer than LEAST fitted documents says nothing about others.
 BEGINNINGS, LEAST = (3, 4, 5, 6), 5
@@ -122,16 +122,15 @@ class _Labelled:
 def fit(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Domains, features and weights (domains x features + 1) of a softmax regression on the features that occur.
 
-    labelled: doc_id, domain. Fitted on SAMPLE labelled documents at most; the number of features and the
+    labelled: doc_id, domain; rows with a null in either say nothing, and of several domains of a doc_id the first by
+    name holds. Fitted on SAMPLE labelled documents at most; the number of features and the
     weight decay are those of CHOICES that do best on held-out ones.
     """
-    names = labelled.where("domain IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).dropDuplicates(["doc_id"])
+    names = labelled.where("domain IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).groupBy("doc_id").agg(F.min("domain").alias("domain"))
     sample = names.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
     got = sorted((r["domain"], bytes(r["x"])) for r in rows.select("domain", "text").mapInArrow(_vectors, "domain string, x binary").collect())
     domains = sorted({d for d, _ in got})
-    if len(domains) > DOMAINS:
-        raise ValueError(f"more than {DOMAINS} domains")
     if len(domains) < 2:
         return domains, np.zeros(0, np.uint32), np.zeros((len(domains), 1))
     y = np.array([domains.index(d) for d, _ in got])
@@ -273,6 +272,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float | None])
     """docs, all columns, each row as often as its rate says (0: gone).
 
     A fraction is a chance, drawn by a hash of doc_id and text, so that the targets hold on the average; rows equal in both get the same.
+    Null and empty texts have the classifier's prior; an empty table stays empty, and without labels every row stays.
     """
     _, known, w, _, steps = _prepared(docs, labelled, targets)
     return docs.mapInArrow(_shares(known, w, steps, True), docs.schema)

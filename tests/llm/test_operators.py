@@ -275,6 +275,31 @@ def test_language_id(spark, docs, empty):
     assert language_id.language_id(empty).count() == 0
 
 
+def test_numbers_are_no_letters(spark):
+    made = [(k, "the quick brown fox jumps over the dog", "en") for k in range(8)] + [(100, "\u00b2 \u00bd", "en"), (101, "\u2167 12 \u2460", None), (102, "a\u00b2b the fox", None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.language_id(spark.createDataFrame(made, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == got[101] == "und" and got[102] == "en"
+
+
+def test_pipeline_decides_row_by_row(spark, tmp_path):
+    """Repeated, null and shared doc_ids, null texts, and columns with clashing names."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeioubcdfgl") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    text = [" ".join(rng.choice(words) for _ in range(80)) for _ in range(6)]
+    made = [(1, text[0]), (1, text[0]), (2, text[0]), (3, text[1]), (3, text[2]), (3, "bad"), (None, text[3]), (None, text[4]), (None, text[3]), (5, None), (6, ""), (7, text[5] + " x")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "clash", 2, 3) for d, t in made], "doc_id long, text string, lang string, source string, n_chars long, th string, _d long, id long")
+    good = corpus_pipeline.quality_rules(spark, docs, "")
+    assert good.columns == docs.columns and Counter((r["doc_id"], r["text"]) for r in good.collect()) == Counter(x for x in made if x[1] and len(x[1]) > 20)
+    kept = corpus_pipeline.near_duplicates(spark, good, "")
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, text[0]), (3, text[1]), (3, text[2]), (None, text[3]), (None, text[4]), (7, text[5] + " x")], key=repr)
+    bench = spark.createDataFrame([(1, " ".join(text[5].split()[10:40]))], "item_id long, text string")
+    clean = decontamination.decontaminate(kept, bench)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {1, 3, None}
+
+
 def test_quality_base(docs, rows, empty):
     got = Counter(tuple(r)[:8][:7] for r in quality.quality(docs).collect())
     want = Counter()
