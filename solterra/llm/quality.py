@@ -11,8 +11,10 @@ from .common import SPACES, words_of, written
 
 #: Windows of so many words (a power of two) that occur twice or more are repeats.
 REPEAT = 8
-#: Common words in a language's reference; languages that get one of their own, the most frequent ones.
-COMMON, LANGUAGES = 20, 64
+#: Common words in a language's reference; parts into which a language's words are dealt for their first ranking.
+COMMON, PARTS = 20, 16
+#: References are broadcast up to so many languages, and joined by a shuffle beyond.
+BROADCAST_LANGUAGES = 4096
 #: Below so many words a histogram says little, and the base rules alone decide.
 GUARD_WORDS = 50
 #: Distances (0 to 1) from which a document fails.
@@ -40,12 +42,9 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """lang, ref_classes, common array<string>, ref_common: a row for each of the most frequent languages, and one
-    with lang null for all the rest. Shares of the common words; the last one is that of all other words."""
-    rows = _columns(docs)
-    top = [r["lang"] for r in docs.groupBy(F.col("lang").cast("string").alias("lang")).count().where("lang IS NOT NULL").orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    ref = F.when(F.col("lang").isin(top), F.col("lang")) if top else F.lit(None).cast("string")
-    rows = rows.withColumn("lang", ref)
+    """lang, ref_classes, common array<string>, ref_common: a row for each language, written with '=' before its name, and one with
+    lang '' for all documents. Shares of the common words; the last one is that of all other words."""
+    rows = _columns(docs).withColumn("lang", F.concat(F.lit("="), "lang"))
     # each row counts for its language and for the reference of all
     classes = rows.groupBy("lang").agg(*(F.sum(F.col("classes")[k]).alias(c) for k, c in enumerate(CLASSES)))
     words = rows.select("lang", F.explode(F.split("letters", " ")).alias("w")).where("w <> ''").groupBy("lang", "w").agg(F.count("*").alias("k"))
@@ -54,8 +53,11 @@ def references(docs: DataFrame) -> DataFrame:
     all_words = words.groupBy(F.lit("").alias("lang"), "w").agg(F.sum("k").alias("k"))
     classes = classes.where("lang IS NOT NULL").unionByName(all_classes)
     words = words.where("lang IS NOT NULL").unionByName(all_words)
-    # the rank's bound is pushed below the shuffle, so that a language sends a few rows from each task
-    ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("k"), "w"))).where(F.col("r") <= COMMON)
+    # ranked within parts first, so that a frequent language's words are no single task's; the rank's bound is
+    # pushed below each shuffle
+    ranked = words.withColumn("part", F.pmod(F.hash("w"), F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):
+        ranked = ranked.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("k"), "w"))).where(F.col("r") <= COMMON)
     common = ranked.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("r", "w", "k"))).alias("c")).join(words.groupBy("lang").agg(F.sum("k").alias("total")), "lang")
     known = F.transform("c", lambda x: x["k"] / F.col("total"))
     common = common.select("lang", F.transform("c", lambda x: x["w"]).alias("common"), known.alias("known"))
@@ -97,8 +99,7 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = M
     """One row for each row of docs(doc_id, text, lang, ...): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, class_distance, common_distance, and with whole the row itself as struct row.
 
-    A document is compared with the reference of its lang, or with that of all documents where lang is null or
-    has none. The distances are null, and base_failed alone decides, below GUARD_WORDS words. A null text
+    A document is compared with the reference of its lang, or with that of all documents where lang is null. The distances are null, and base_failed alone decides, below GUARD_WORDS words. A null text
     counts as empty: no words, base_failed. The references count all documents; repeated rows count again.
     """
     ref = references(docs)
@@ -107,11 +108,10 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS, max_common: float = M
     rows = rows.select("doc_id", "lang", "row", "n", "letters", "space", "symbol", "classes", words_of(F.col("t")).alias("words"), lines.alias("lines"))
     rows = rows.select("doc_id", "lang", "row", "letters", "classes", "words", F.size("words").cast("long").alias("n_words"), (F.col("n") - F.col("space")).cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"))
     rows = _repeated(rows).drop("words")
-    # LANGUAGES + 1 rows: a bound that no input changes
-    known = [r["lang"] for r in ref.select("lang").collect()]
-    rows = rows.withColumn("lang", F.when(F.col("lang").isin(known), F.col("lang")).otherwise("")) if known else rows.withColumn("lang", F.lit(""))
+    rows = rows.withColumn("lang", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")))
     # the list is made before the join: after it, it would be made again for each word
-    rows = rows.join(F.broadcast(ref.withColumn("listed", F.array_join("common", ","))), "lang", "left")
+    listed = ref.withColumn("listed", F.array_join("common", ","))
+    rows = rows.join(F.broadcast(listed) if ref.count() <= BROADCAST_LANGUAGES else listed.hint("merge"), "lang", "left")
     # one character for each word: its place among the common ones, or the one for all others
     words = F.trim("letters")
     code = F.when(words != "", F.array_join(F.transform(F.split(words, " "), lambda w: F.chr(F.find_in_set(w, F.col("listed")) + 64)), "")).otherwise("")
