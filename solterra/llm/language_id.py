@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Length of a profile, longest n-gram, and languages learned (the most frequent ones).
-PROFILE, LONGEST, LANGUAGES = 400, 3, 256
+#: Length of a profile, longest n-gram, and languages compared at a time.
+PROFILE, LONGEST, BLOCK = 400, 3, 256
 #: Words whose n-grams a worker keeps.
 CACHED = 150_000
 UNKNOWN = "und"
@@ -59,23 +59,28 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def learn(docs: DataFrame) -> dict[str, list[str]]:
-    """Each language's most frequent n-grams, from all rows of docs(text, lang) with a lang that is not null.
-
-    LANGUAGES * PROFILE rows reach the driver at most. Ties go to the n-gram that is first in order.
-    """
+def learn(docs: DataFrame) -> DataFrame:
+    """lang, r, gram: each language's most frequent n-grams, from all rows of docs(text, lang) with a lang that is
+    not null. Ties go to the n-gram that is first in order. A language without a letter has no rows."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     grams = rows.select("lang", "text").mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams = written(grams, "grams")
-    top = [r["lang"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    ranked = grams.where(F.col("lang").isin(top) if top else F.lit(False)).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)
-    profiles: dict[str, list[str]] = {lang: [] for lang in sorted(top)}
-    for r in sorted(ranked.select("lang", "r", "gram").collect(), key=lambda r: (r["lang"], r["r"])):
-        profiles[r["lang"]].append(r["gram"])
-    return profiles
+    ranked = grams.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= PROFILE)
+    return written(ranked.select("lang", "r", "gram"), "profiles")
+
+
+def profile_blocks(learned: DataFrame) -> Iterator[dict[str, list[str]]]:
+    """The profiles of all languages, in order of their names, BLOCK languages at a time."""
+    langs = sorted(r["lang"] for r in learned.select("lang").distinct().collect())
+    for k in range(0, len(langs), BLOCK):
+        block = langs[k : k + BLOCK]
+        profiles: dict[str, list[str]] = {lang: [] for lang in block}
+        for r in sorted(learned.where(F.col("lang").isin(block)).collect(), key=lambda r: (r["lang"], r["r"])):
+            profiles[r["lang"]].append(r["gram"])
+        yield profiles
 
 
-def _predict(profiles: dict[str, list[str]]):
+def _predict(profiles: dict[str, list[str]], last: bool):
+    """Predictions by these profiles where they beat those of the blocks before; the last block leaves the text out."""
     langs = list(profiles)
 
     def run(batches):
@@ -95,12 +100,10 @@ def _predict(profiles: dict[str, list[str]]):
             place = np.concatenate([place, np.array([[r.get(g, -1) for g in grams[lo:]] for r in ranks], np.int32).reshape(len(langs), -1)], axis=1)
 
         for batch in batches:
-            pred, score = [], []
-            for text in batch.column("text"):
+            pred, score = batch.column("lang_pred").to_pylist(), batch.column("score").to_pylist()
+            for row, text in enumerate(batch.column("text")):
                 freq = Counter(_words(text.as_py()))
                 if not freq or not langs:
-                    pred.append(UNKNOWN)
-                    score.append(0.0)
                     continue
                 if len(of_word) > CACHED or len(ids) > 1_000_000:
                     ids.clear(), of_word.clear(), grams.clear()
@@ -129,9 +132,11 @@ def _predict(profiles: dict[str, list[str]]):
                 where = place[:, at]
                 out = np.where(where < 0, PROFILE, np.abs(where - np.arange(len(at), dtype=np.int32))).sum(axis=1)
                 best = int(np.argmin(out))
-                pred.append(langs[best])
-                score.append(1.0 - float(out[best]) / (PROFILE * len(at)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                near = 1.0 - float(out[best]) / (PROFILE * len(at))
+                if near > score[row] or (pred[row] == UNKNOWN and score[row] == 0.0):
+                    pred[row], score[row] = langs[best], near
+            kept = ["doc_id", "held_out"] if last else ["doc_id", "held_out", "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
     return run
 
@@ -139,7 +144,8 @@ def _predict(profiles: dict[str, list[str]]):
 def language_id(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row of docs(doc_id, text, lang, ...).
 
-    Profiles are learned from rows that are not held out and have a lang. A document's most frequent n-grams,
+    Profiles of all languages are learned from rows that are not held out and have a lang; their names reach the
+    driver, and their profiles, a block at a time. A document's most frequent n-grams,
     in order, are compared with each profile: the distance is the sum of the differences in rank, PROFILE for
     an n-gram that the profile lacks; the smallest wins, at a tie the first name. score is 1 less the
     distance as a share of the largest possible one. Null texts and texts without a letter are
@@ -147,5 +153,9 @@ def language_id(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.withColumn("held_out", held_out(F.col("doc_id")))
-    profiles = learn(rows.where(~F.col("held_out")).select("text", "lang"))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(profiles), "doc_id long, held_out boolean, lang_pred string, score double")
+    blocks = list(profile_blocks(learn(rows.where(~F.col("held_out")).select("text", "lang")))) or [{}]
+    rows = rows.select("doc_id", "held_out", "text", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    for k, profiles in enumerate(blocks):
+        last = k + 1 == len(blocks)
+        rows = rows.mapInArrow(_predict(profiles, last), f"doc_id long, held_out boolean, {'' if last else 'text string, '}lang_pred string, score double")
+    return rows

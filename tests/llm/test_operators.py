@@ -275,6 +275,33 @@ def test_language_id(spark, docs, empty):
     assert language_id.language_id(empty).count() == 0
 
 
+def _ranked(count):
+    return [g for g, _ in sorted(count.items(), key=lambda gn: (-gn[1], gn[0]))][: language_id.PROFILE]
+
+
+def test_language_id_against_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    alphabets = {f"l{k}": "".join(rng.sample("abcdefghijklmnopqrstuvwxyzäöåßñ", 9)) for k in range(5)}
+    rows = [(k, " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 400))), lang) for k, lang in enumerate([*alphabets] * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = {lang: Counter() for lang in alphabets}
+    for d, text, lang in rows:
+        if zlib.crc32(str(d).encode()) % 4 != 2:
+            for w in text.split():
+                grams[lang].update([*w, *(f"_{w}_"[i : i + n] for n in (2, 3) for i in range(len(w) + 3 - n))])
+    profiles = {lang: {g: k for k, g in enumerate(_ranked(c))} for lang, c in grams.items()}
+    want = {}
+    for d, text, _ in rows:
+        own = Counter(g for w in text.split() for g in [*w, *(f"_{w}_"[i : i + n] for n in (2, 3) for i in range(len(w) + 3 - n))])
+        first = sorted(own, key=lambda g: (-own[g], zlib.crc32(g.encode())))[: language_id.PROFILE]
+        far = {lang: sum(abs(p[g] - k) if g in p else language_id.PROFILE for k, g in enumerate(first)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        want[d] = (best, pytest.approx(1 - far[best] / (language_id.PROFILE * len(first))))
+    for block in (256, 2):  # all languages at once, and two at a time
+        monkeypatch.setattr(language_id, "BLOCK", block)
+        assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.language_id(docs).collect()} == want
+
+
 def test_numbers_are_no_letters(spark):
     made = [(k, "the quick brown fox jumps over the dog", "en") for k in range(8)] + [(100, "\u00b2 \u00bd", "en"), (101, "\u2167 12 \u2460", None), (102, "a\u00b2b the fox", None)]
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.language_id(spark.createDataFrame(made, "doc_id long, text string, lang string")).collect()}
@@ -313,6 +340,59 @@ def test_quality_base(docs, rows, empty):
     assert quality.quality(empty).count() == 0
 
 
+def _shares(values):
+    total = sum(values)
+    return [v / total for v in values] if total else None
+
+
+def _js(p, q):
+    return math.sqrt(max(0.0, sum((a * math.log2(2 * a / (a + b)) if a else 0.0) + (b * math.log2(2 * b / (a + b)) if b else 0.0) for a, b in zip(p, q)) / 2))
+
+
+def test_quality_distances_against_brute_force(spark, monkeypatch):
+    import regex
+
+    rng = random.Random(9)
+    rows = []
+    for k in range(90):  # more languages than a block, an empty name and none
+        words = ["".join(rng.choice("abcdeéfgHIJ") for _ in range(rng.randint(1, 3))) for _ in range(30)]
+        lang = None if k % 9 == 0 else "" if k % 9 == 1 else f"l{k % 70}"
+        rows.append((k, " ".join(rng.choice(words) + rng.choice(["", "", ".", " 12", "#", "☃"]) for _ in range(rng.choice([30, 70, 200]))), lang))
+
+    def classes(t):
+        letters, upper = len(regex.findall(r"\p{L}", t)), len(regex.findall(r"\p{Lu}", t))
+        rest = regex.sub(r"\p{L}", "", t)
+        each = [sum(c in chars for c in rest) for chars in ("0123456789", " \t\n\x0b\x0c\r", quality.POINTS, quality.SYMBOLS)]
+        return [letters - upper, upper, *each, len(rest) - sum(each)]
+
+    def bag(t):
+        return Counter(regex.findall(r"\p{L}+", t.lower()))
+
+    refs = {}
+    for name in {lang for *_, lang in rows}:
+        of = [t for _, t, lang in rows if name is None or lang == name]
+        words = sum(map(bag, of), Counter())
+        top = sorted(words.items(), key=lambda wn: (-wn[1], wn[0]))[: quality.COMMON]
+        known = [n / sum(words.values()) for _, n in top]
+        refs[name] = (_shares([sum(c) for c in zip(*map(classes, of))]), [w for w, _ in top], [*known, max(0.0, 1 - sum(known))])
+    want = {}
+    for d, t, lang in rows:
+        ref_classes, common, ref_common = refs[lang]
+        own = bag(t)
+        hits = [own[w] / sum(own.values()) for w in common]
+        long = len(t.split()) >= quality.GUARD_WORDS
+        want[d] = (_js(_shares(classes(t)), ref_classes), _js([*hits, 1 - sum(hits)], ref_common)) if long else (None, None)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for broadcast in (4096, 0):
+        monkeypatch.setattr(quality, "BROADCAST_LANGUAGES", broadcast)
+        got = {r["doc_id"]: r for r in quality.quality(docs).collect()}
+        assert len(got) == len(rows)
+        for d, (a, b) in want.items():
+            assert got[d]["class_distance"] == (None if a is None else pytest.approx(a, abs=1e-6))
+            assert got[d]["common_distance"] == (None if b is None else pytest.approx(b, abs=1e-6))
+            assert got[d]["kept"] == (not got[d]["base_failed"] and (a is None or (a < quality.MAX_CLASS and b < quality.MAX_COMMON)))
+
+
 def test_quality_rejects_odd_distributions(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = quality.quality(d).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("NOT base_failed").collect()
