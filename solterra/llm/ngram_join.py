@@ -11,6 +11,9 @@ Components need no more than a spanning set of links. First each column's rows a
 that has most columns in common with others, and rows found linked become one component. Then rows of different
 components that meet are multiplied: pair by pair in columns where few rows are outside the largest component, else
 block by block, where overlap counts are accumulated over slices of columns and only links that join components leave the task.
+
+Before texts are fetched for a pair, the parities of both rows' columns in WIDTH classes are compared: two rows differ in at
+least as many columns as classes whose parities differ, and similar rows in few, as their sizes say. That bound loses no link.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ FEW, BLOCK_ROWS, BLOCK_SHINGLES = 128, 1024, 1 << 20
 LOOK = 6
 #: Places of texts, 24 bytes each, that go to every task at most.
 SENT = 1 << 20
+#: Classes of columns whose parities a row's signature holds, one bit each.
+WIDTH = 1024
 #: Columns of a slice in a block's product.
 SLICE = 4096
 
@@ -51,13 +56,20 @@ def _batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
 
-SET = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+SET = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int64()))])
 ENTRY = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _signature(s: np.ndarray) -> np.ndarray:
+    """The parities of a set's hashes in WIDTH classes, as 64-bit integers."""
+    odd = np.bincount((s & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(n: int):
-    """kind 0: a document, its set's size and hash; kind 1: doc_id is a frequent column and n its rows here."""
+    """kind 0: a document, its set's size and hash, with the signature where it is met for the first time here;
+    kind 1: doc_id is a frequent column and n its rows here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -68,15 +80,17 @@ def _sets(n: int):
             keys, count = np.unique(np.concatenate(held), return_counts=True)
             many = count >= REPORTED
             k = int(many.sum())
-            return _batch(SET, np.ones(k, np.int32), keys[many].view(np.int64), pa.nulls(k), count[many], pa.nulls(k))
+            return _batch(SET, np.ones(k, np.int32), keys[many].view(np.int64), pa.nulls(k), count[many], pa.nulls(k), pa.nulls(k))
 
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sigs = [], [], []
             for s in shingle_sets(batch.column("text"), n):
                 sizes.append(len(s))
                 nodes.append(_node(s) if len(s) else None)
+                sigs.append(None)
                 if len(s) and nodes[-1] not in seen:
                     seen.add(nodes[-1])
+                    sigs[-1] = _signature(s)
                     held.append(s)
                     size += len(s)
                     if size > 1_500_000:
@@ -84,7 +98,7 @@ def _sets(n: int):
                         held.clear()
                         seen.clear()
                         size = 0
-            yield _batch(SET, np.zeros(len(sizes), np.int32), batch.column("doc_id"), batch.column("th"), sizes, nodes)
+            yield _batch(SET, np.zeros(len(sizes), np.int32), batch.column("doc_id"), batch.column("th"), sizes, nodes, sigs)
         if held:
             yield frequent()
 
@@ -275,6 +289,15 @@ def _multiply(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return dealt.mapInArrow(_beside(n, percent), "a long, b long")
 
 
+def _close(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose signatures and sizes do not rule out that they are similar."""
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    heads = salted.select("a", "salt").distinct().join(signs.hint("merge"), F.col("a") == F.col("node")).select("a", "salt", F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
+    both = salted.join(heads.hint("merge"), ["a", "salt"]).join(signs.hint("merge"), F.col("b") == F.col("node"))
+    differ = F.aggregate(F.zip_with("sig", "sig_a", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda k, x: k + x)
+    return both.where(differ * (100 + percent) <= (F.col("n") + F.col("n_a")) * (100 - percent)).select(*pairs.columns)
+
+
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """node, comp (the smallest node of its component) for nodes that are no component's smallest.
 
@@ -324,8 +347,9 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     tables = Tables(docs.sparkSession, "ngrams")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    made = tables.written(docs.mapInArrow(_sets(n), "kind int, doc_id long, th long, n long, node long"), "sets")
+    made = tables.written(docs.mapInArrow(_sets(n), "kind int, doc_id long, th long, n long, node long, sig array<long>"), "sets")
     sets = made.where("kind = 0").select("doc_id", "th", "n", "node")
+    signs = tables.written(made.where("sig IS NOT NULL").groupBy("node").agg(F.min("n").alias("n"), F.min("sig").alias("sig")), "signatures")
     often = tables.written(made.where("kind = 1").groupBy(F.col("doc_id").alias("key")).agg(F.sum("n").alias("df")), "frequent")
     rows = most_frequent(often, "df", HOT).collect()
     hot = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
@@ -343,7 +367,8 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
     pivots = shared.groupBy("key").agg(F.max(F.struct("s", "node", "n")).alias("p")).select("key", F.col("p.node").alias("a"), F.col("p.n").alias("m"), F.col("p.s").alias("s_a"))
     pairs = shared.join(pivots.hint("merge"), "key").where((F.col("node") != F.col("a")) & fits & (F.least("s", "s_a") >= _need(percent)))
-    pairs = tables.written(pairs.select("a", F.col("node").alias("b")).distinct().select("a", "b", F.col("a").alias("comp_a"), F.col("b").alias("comp_b")), "pairs")
+    pairs = tables.written(pairs.select("a", F.col("node").alias("b")).distinct().select("a", "b", F.col("a").alias("comp_a"), F.col("b").alias("comp_b")), "met")
+    pairs = tables.written(_close(pairs, signs, percent), "pairs")
     texts = _texts(docs, sets, pairs.select("a").union(pairs.select("b")), tables)
     labels = components(_multiply(pairs, texts, n, percent), tables)
 
@@ -367,7 +392,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("left").alias("left_b"), F.col("before").alias("before_b"), (F.col("comp") != F.col("top")).alias("out_b"))
     meet = (~F.col("out_b") | (F.col("node") < F.col("b"))) & (F.col("comp") != F.col("comp_b")) & fits & (F.least("left", "left_b") >= _need(percent)) & ~F.arrays_overlap("before", "before_b")
     pairs = few.where("comp <> top").join(other.hint("merge"), "key").where(meet).select(F.col("node").alias("a"), "b", F.col("comp").alias("comp_a"), "comp_b").distinct()
-    pairs = tables.written(pairs, "pairs")
+    pairs = tables.written(_close(tables.written(pairs, "met"), signs, percent), "pairs")
     many = x.where(F.col("outside") > FEW)
     texts = _texts(docs, sets, pairs.select("a").union(pairs.select("b")).union(many.select("node")), tables)
     found = _multiply(pairs, texts, n, percent)
