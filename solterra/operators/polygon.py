@@ -35,24 +35,58 @@ def bounds(polygon: DataFrame) -> DataFrame:
     return e.groupBy("poly_id").agg(F.min("x0").alias("xa"), F.min("y0").alias("ya"), F.max("x0").alias("xz"), F.max("y0").alias("yz"))
 
 
-def containing(points: DataFrame, polygon: DataFrame, cell: float) -> DataFrame:
-    """pid, poly_id: polygons that hold a point. Candidates meet by an equi-join on the grid cells of the polygon's
-    box; the test counts the edges that a ray to the right crosses, over all rings of all parts."""
+def containing(points: DataFrame, polygon: DataFrame, cell: float, boundary: bool = False) -> DataFrame:
+    """pid, poly_id: polygons that hold a point, in any of their parts. Points on an outer edge or corner are held if boundary is
+    true, those on a hole's edge always. Candidates meet by an equi-join on the grid cells of the polygon's
+    box; the test counts the edges of a part that a ray to the right crosses."""
     box = bounds(polygon)
     cells = box.withColumn("gx", F.explode(F.sequence(F.floor(F.col("xa") / cell), F.floor(F.col("xz") / cell)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("ya") / cell), F.floor(F.col("yz") / cell))))
     at = points.select("pid", "x", "y").withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)})
     near = at.join(cells, ["gx", "gy"]).where(F.col("x").between(F.col("xa"), F.col("xz")) & F.col("y").between(F.col("ya"), F.col("yz"))).select("pid", "x", "y", "poly_id")
-    e = edges(polygon)
-    crosses = ((F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))) & (F.col("x") < (F.col("x1") - F.col("x0")) * (F.col("y") - F.col("y0")) / F.nullif(F.col("y1") - F.col("y0"), F.lit(0.0)) + F.col("x0"))
-    hit = near.join(e, "poly_id").where(crosses).groupBy("pid", "poly_id").agg(F.count("*").alias("n"))
-    return hit.where(F.col("n") % 2 == 1).select("pid", "poly_id")
+    x, y, x0, y0, x1, y1 = map(F.col, ("x", "y", "x0", "y0", "x1", "y1"))
+    side = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
+    on = (side == 0) & x.between(F.least(x0, x1), F.greatest(x0, x1)) & y.between(F.least(y0, y1), F.greatest(y0, y1))
+    crosses = ((y0 > y) != (y1 > y)) & ((side > 0) == (y1 > y0))
+    met = near.join(edges(polygon), "poly_id").select("pid", "poly_id", "part", "hole", on.alias("on"), crosses.alias("crosses")).where("on OR crosses")
+    hit = met.groupBy("pid", "poly_id", "part").agg(F.count_if("crosses").alias("n"), F.bool_or(F.col("on") & ~F.col("hole")).alias("outer"), F.bool_or(F.col("on") & F.col("hole")).alias("inner"))
+    return hit.where(F.when(F.col("outer"), F.lit(boundary)).otherwise(F.col("inner") | (F.col("n") % 2 == 1))).select("pid", "poly_id").distinct()
+
+
+def first_match(points: DataFrame, polygon: DataFrame, order: str, cell: float, required: bool = False) -> DataFrame:
+    """points' pid and the first polygon, by a column of polygon, that holds it, its edges included; null where none
+    does, or an error when the row is read if required."""
+    found = containing(points, polygon, cell, boundary=True).join(polygon.select("poly_id", order), "poly_id")
+    first = found.groupBy("pid").agg(F.min_by("poly_id", F.struct(order, "poly_id")).alias("poly_id"))
+    rows = points.select("pid").join(first, "pid", "left")
+    if required:
+        rows = rows.withColumn("poly_id", F.coalesce("poly_id", F.raise_error(F.concat(F.lit("no polygon holds point "), F.col("pid").cast("string"))).cast("long")))
+    return rows
 
 
-def first_match(points: DataFrame, polygon: DataFrame, order: str, cell: float) -> DataFrame:
-    """points' pid and the first polygon, by a column of polygon, that holds it; null where none does."""
-    found = containing(points, polygon, cell).join(polygon.select("poly_id", order), "poly_id")
-    first = found.groupBy("pid").agg(F.min_by("poly_id", F.struct(order, "poly_id")).alias("poly_id"))
-    return points.select("pid").join(first, "pid", "left")
+def from_points(spark, poly_id: int, points) -> DataFrame:
+    """A polygon of one ring from x, y, x, y, ... or from pairs; ValueError for other shapes or fewer than three points."""
+    import numpy as np
+
+    a = np.asarray(points, dtype=float)
+    if a.ndim == 1 and len(a) % 2 == 0:
+        a = a.reshape(-1, 2)
+    if a.ndim != 2 or a.shape[1] != 2 or len(a) < 3:
+        raise ValueError("points have to be an even number of coordinates, or pairs, of three points or more")
+    return spark.createDataFrame([(poly_id, [(0, False, [(float(x), float(y)) for x, y in a])])], "poly_id long, rings array<struct<part:int,hole:boolean,pts:array<struct<x:double,y:double>>>>")
+
+
+def transformed(polygon: DataFrame, source: int, target: int) -> DataFrame:
+    """Rings in another coordinate system (EPSG codes, see functions.crs); unchanged if it is the same."""
+    from ..functions import crs
+
+    if source == target:
+        return polygon
+
+    def moved(p: Column) -> Column:
+        x, y = crs.transform(p["x"], p["y"], source, target)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return polygon.withColumn("rings", F.transform("rings", lambda r: F.struct(r["part"].alias("part"), r["hole"].alias("hole"), F.transform(r["pts"], moved).alias("pts"))))
 
 
 def clip_to_box(polygon: DataFrame, xa: float, ya: float, xz: float, yz: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import crs, solar
 from ..operators import classify, mesh, polygon, shade
 from ..operators import raster as ras
+from ..sources import geotiff, shapes
 from . import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +55,13 @@ def raster_points(spark, sf):
     return ras.cells(v.raster(spark, sf)).select("raster_id", "i", F.col("j").cast("int").alias("j"), "x", "y", r6("z"))
 
 
+@query(f"WITH {v.VERTEX} SELECT mesh_id AS raster_id, 'EPSG:32633' AS crs, (vid // 8)::INT AS i, (vid % 8)::INT AS j, x, y, {q6('z')} FROM vertex")
+def geotiff_points(spark, sf):
+    """The rasters as GeoTIFF files, decoded again."""
+    r = geotiff.rasters(geotiff.encoded(v.raster(spark, sf), 32633)).withColumn("raster_id", F.col("path").cast("long"))
+    return ras.cells(r).join(r.select("raster_id", "crs"), "raster_id").select("raster_id", "crs", "i", F.col("j").cast("int").alias("j"), "x", "y", r6("z"))
+
+
 @query(f"WITH {v.RASTER} SELECT raster_id, k, CASE WHEN k IN (0, 3) THEN x_min ELSE x_min + 7 END AS x, CASE WHEN k < 2 THEN y_max - (n_rows - 1) ELSE y_max END AS y FROM raster, (VALUES (0), (1), (2), (3)) s(k)")
 def raster_exterior(spark, sf):
     return ras.exterior(v.raster(spark, sf))
@@ -260,15 +268,35 @@ def polygon_edges(spark, sf):
     return polygon.edges(v.polygons(spark, sf)).select("poly_id", "hole", "k", "x0", "y0", "x1", "y1")
 
 
-_IN = f"""WITH {v.POINTS}, {v.POLYGON_EDGES}, hit AS (SELECT pid, poly_id FROM points, edge WHERE (y0 > y) <> (y1 > y) AND x < (x1 - x0) * (y - y0) / nullif(y1 - y0, 0) + x0 GROUP BY ALL HAVING count(*) % 2 = 1)"""
+@query("""SELECT r_regionkey::BIGINT AS poly_id, hole, abs(area) AS area, CASE WHEN hole THEN -1 ELSE 1 END AS turn FROM region, (VALUES (false, 100.0::DOUBLE), (true, 4.0::DOUBLE)) h(hole, area)""")
+def wkb_polygons(spark, sf):
+    """A square with a hole for each region, as WKB, read and turned to the usual orientation."""
+    import struct
+
+    def ring(half, k):
+        at = [(-half, -half), (-half, half), (half, half), (half, -half), (-half, -half)]
+        return struct.pack("<I10d", 5, *(c + k for p in at for c in p)).hex()
+
+    text = [(k, struct.pack("<BII", 1, 3, 2).hex() + ring(5.0, k) + ring(1.0, k)) for k in range(5)]
+    wkb = F.unhex(F.element_at(F.create_map(*(F.lit(x) for kt in text for x in kt)), F.col("r_regionkey")))
+    rows = v.table(spark, sf, "region").select(F.col("r_regionkey").cast("long").alias("poly_id"), wkb.alias("wkb"))
+    rings = polygon.oriented(shapes.from_wkb(rows)).select("poly_id", F.explode("rings").alias("r"))
+    area = polygon.signed_area(F.col("r.pts"))
+    return rings.select("poly_id", F.col("r.hole").alias("hole"), F.abs(area).alias("area"), F.signum(area).cast("int").alias("turn"))
+
+
+def _inside(compare: str) -> str:
+    """Points whose larger distance from a square's centre along an axis is less than its half side, and not so for its hole."""
+    far = "greatest(abs(points.x - {0}.x), abs(points.y - {0}.y))"
+    return f"WITH {v.POINTS}, {v.POLYGON_EDGES}, hit AS (SELECT pid, o.poly_id FROM points, ring o JOIN ring h USING (poly_id) WHERE NOT o.hole AND h.hole AND {far.format('o')} {compare} o.half AND {far.format('h')} >= h.half)"
 
 
-@query(f"{_IN} SELECT * FROM hit")
+@query(f"{_inside('<')} SELECT * FROM hit")
 def point_in_polygon(spark, sf):
     return polygon.containing(v.points(spark, sf), v.polygons(spark, sf), 10.0)
 
 
-@query(f"{_IN} SELECT points.pid, coalesce(min(poly_id), -1)::BIGINT AS poly_id FROM points LEFT JOIN hit USING (pid) GROUP BY 1")
+@query(f"{_inside('<=')} SELECT points.pid, coalesce(min(poly_id), -1)::BIGINT AS poly_id FROM points LEFT JOIN hit USING (pid) GROUP BY 1")
 def land_cover_first_match(spark, sf):
     found = polygon.first_match(v.points(spark, sf), v.polygons(spark, sf).withColumn("ord", F.col("poly_id")), "ord", 10.0)
     return found.select("pid", F.coalesce("poly_id", F.lit(-1)).alias("poly_id"))
