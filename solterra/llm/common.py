@@ -50,15 +50,23 @@ class Tables:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.made = spark, scratch(spark, name), 0
+        self.paths: dict[str, list[str]] = {}
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.made += 1
         path = f"{self.path}/{self.made}-{name}"
+        self.paths.setdefault(name, []).append(path)
         df.write.parquet(path)
         # shuffle files are deleted when the driver finds their plans unused: what is written needs them no more
         self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def spent(self, *names: str) -> None:
+        """Removes the tables made so far with these names: what comes after reads tables written from them."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                remove(self.spark, path)
+
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """df written elsewhere; the other tables go."""
         df = written(df, name)

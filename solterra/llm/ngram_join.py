@@ -38,7 +38,7 @@ SALTS = 16
 FEW, BLOCK_ROWS, BLOCK_SHINGLES = 128, 1024, 1 << 20
 #: Columns before a column in which rows that meet in it may have met already.
 LOOK = 6
-#: Places of texts, 24 bytes each, that go to every task at most.
+#: Places of texts, 24 bytes each, and rows' components, 16 bytes, that go to every task at most.
 SENT = 1 << 20
 #: Classes of columns whose parities a row's signature holds, one bit each.
 WIDTH = 1024
@@ -57,7 +57,7 @@ def _batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
 
 
 SET = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sig", pa.list_(pa.int64()))])
-ENTRY = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+ENTRY = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("node", pa.int64()), ("pos", pa.int32())])
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
@@ -106,7 +106,7 @@ def _sets(n: int):
 
 
 def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray):
-    """key, salt (0 for columns that are not hot), node, n, pos: the prefix of each distinct set met here."""
+    """key, salt (0 for columns that are not hot), node, pos: the prefix of each distinct set met here."""
     maybe = np.zeros(1 << 22, bool)
     maybe[(hot >> np.uint64(42)).astype(np.int64)] = True
 
@@ -131,7 +131,7 @@ def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray):
                     order = np.lexsort((s, r))
                     s = s[order]
                     salt = np.where(r[order] > 0, 1 + node % SALTS, 0).astype(np.int32)
-                parts.append((s[:p].view(np.int64), salt[:p], np.full(p, node), np.full(p, len(s), np.int32), np.arange(p, dtype=np.int32)))
+                parts.append((s[:p].view(np.int64), salt[:p], np.full(p, node), np.arange(p, dtype=np.int32)))
                 size += p
                 if size > 300_000:
                     yield out(parts)
@@ -356,12 +356,12 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     order = np.argsort(hot)
     rank = np.array([r["df"] for r in rows], np.int64)[order]
 
-    entry = "key long, salt int, node long, n int, pos int"
+    entry = "key long, salt int, node long, pos int"
     entries = docs.select("text").mapInArrow(_prefixes(n, percent, hot[order], rank), entry)
     shared = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_shared, entry)
     # place among the row's shared columns, and their number; a row has as many as its prefix is long
     row = Window.partitionBy("node")
-    placed = shared.select("key", "node", "n", (F.row_number().over(row.orderBy("pos")) - 1).alias("t"), F.count("*").over(row).cast("int").alias("s"))
+    placed = shared.join(signs.select("node", F.col("n").cast("int").alias("n")).hint("merge"), "node").select("key", "node", "n", (F.row_number().over(row.orderBy("pos")) - 1).alias("t"), F.count("*").over(row).cast("int").alias("s"))
     shared = tables.written(placed, "shared")
 
     fits = (F.col("n") * 100 >= F.col("m") * percent) & (F.col("m") * 100 >= F.col("n") * percent)
@@ -371,18 +371,23 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     pairs = tables.written(_close(pairs, signs, percent), "pairs")
     texts = _texts(docs, sets, pairs.select("a").union(pairs.select("b")), tables)
     labels = components(_multiply(pairs, texts, n, percent), tables)
+    tables.spent("met", "pairs", "heads", "texts")
 
-    x = shared.join(labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sent = labels.limit(SENT + 1).count() <= SENT
+    x = shared.join(F.broadcast(labels) if sent else labels.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     x = tables.written(x.select("key", "node", "n", (F.col("s") - F.col("t")).cast("int").alias("left"), "comp"), "labelled")
+    tables.spent("shared")
     # rows of which too little is left for any size that their column holds
     sizes = x.groupBy("key").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c"), F.max("comp").alias("d")).where("c <> d").select("key", "lo", "hi")
     x = x.join(sizes.hint("merge"), "key")
     least = [_need(percent, F.greatest("lo", F.ceil(F.col("n") * percent / F.lit(100)))), _need(percent, F.least("hi", F.floor(F.col("n") * 100 / F.lit(percent))))]
     # 1 less, as whole numbers do not fall evenly between
     x = tables.written(x.where(F.col("left") >= F.least(*least) - 1).drop("lo", "hi"), "able")
+    tables.spent("labelled")
     of_comp = x.groupBy("key", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
     keys = of_comp.groupBy("key").agg(F.sum("k").alias("rows"), F.sum("size").alias("size"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1")
     x = tables.written(x.join(keys.select("key", "rows", "size", F.col("top.comp").alias("top"), (F.col("rows") - F.col("top.k")).alias("outside")).hint("merge"), "key"), "mixed")
+    tables.spent("able")
 
     # one of two rows of different components is outside the column's largest one; rows that share a column
     # shortly before met there, with more of both left
@@ -392,7 +397,9 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     other = few.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("comp_b"), F.col("left").alias("left_b"), F.col("before").alias("before_b"), (F.col("comp") != F.col("top")).alias("out_b"))
     meet = (~F.col("out_b") | (F.col("node") < F.col("b"))) & (F.col("comp") != F.col("comp_b")) & fits & (F.least("left", "left_b") >= _need(percent)) & ~F.arrays_overlap("before", "before_b")
     pairs = few.where("comp <> top").join(other.hint("merge"), "key").where(meet).select(F.col("node").alias("a"), "b", F.col("comp").alias("comp_a"), "comp_b").distinct()
-    pairs = tables.written(_close(tables.written(pairs, "met"), signs, percent), "pairs")
+    met = tables.written(pairs, "met")
+    tables.spent("few")
+    pairs = tables.written(_close(met, signs, percent), "pairs")
     many = x.where(F.col("outside") > FEW)
     texts = _texts(docs, sets, pairs.select("a").union(pairs.select("b")).union(many.select("node")), tables)
     found = _multiply(pairs, texts, n, percent)
