@@ -436,6 +436,45 @@ def test_terms_that_disclose(spark):
     assert text[1] == "call <term> now at <phone> or later" and text[30] == made[12][1]
 
 
+def test_terms_against_brute_force(spark):
+    """Short words, doubled words, null ids, repeated rows and letters whose lower case depends on neighbours."""
+    rng = random.Random(4)
+    phones = [f"+1 736 555 {2000 + k}" for k in range(6)]
+    names = [["li", "x", "İlkbahar"], ["ΟΔΟΣ'Α", "ng"], ["zorblax", "q"], ["é"], ["Quux", "ab"], ["solo"]]
+    filler = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40)]
+    made = [(1, "li li"), (2, "ab")]
+    for k, phone in enumerate(phones):
+        for j in range(1 if k == 5 else 3):
+            few = rng.sample(filler, 2) * (2 if k % 2 else 1) + [w for w in names[k] for _ in range(2 if k % 2 else 1)]
+            rng.shuffle(few)
+            made.append((None if k in (1, 3) else 10 * k + j, "one\n" + " ".join([*few, phone])))
+    made += [(100 + k, "\n".join(" ".join(rng.sample(filler, 3)) for _ in range(12))) for k in range(60)]
+    made += [made[2]] * 9 + [made[5]] * 3
+
+    lines = [(d, t, n, line) for d, t in dict.fromkeys(made) for n, line in enumerate(t.split("\n"))]
+    n_t, n_c, both, seen = Counter(), Counter(), Counter(), defaultdict(set)
+    letters = re.compile(r"[^\W\d_]+")
+    for *_, line in lines:
+        n_t.update({w.lower() for w in letters.findall(line)})
+        if m := re.search(PATTERNS["phone"], line):
+            terms = {w.lower() for w in letters.findall(line)}
+            n_c[m[0]] += 1
+            both.update((m[0], w) for w in terms)
+            for w in terms:
+                seen[m[0], w].add(frozenset(terms))
+    need = {cw for cw, n in both.items() if len(seen[cw]) >= pii.SUPPORT and math.log2(n * len(lines) / (n_c[cw[0]] * n_t[cw[1]])) >= pii.ALPHA * math.log2(len(lines) / n_c[cw[0]])}
+    assert {w for _, w in need} >= {"é", "q", "ng"} and not {w for _, w in need} & {"solo"}
+    want = defaultdict(list)
+    for d, t, n, line in lines:
+        if m := re.search(PATTERNS["phone"], line):
+            at = sum(len(x) + 1 for x in t.split("\n")[:n])
+            want[d, t] += [f"term:{at + w.start()}:{at + w.end()}" for w in letters.finditer(line) if (m[0], w[0].lower()) in need]
+    docs = spark.createDataFrame(made, "doc_id long, text string").withColumn("th", F.xxhash64("text"))
+    text = {(r["doc_id"], r["th"]): r["text"] for r in docs.collect()}
+    got = {(r["doc_id"], text[r["doc_id"], r["th"]]): [f"term:{s['start']}:{s['stop']}" for s in r["spans"] if s["rank"] == 5] for r in pii.personal_data(docs).collect()}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
 def test_line_dedup(spark, docs, rows, empty):
     rng = random.Random(2)
     para = [" ".join(f"p{k}x{i}" for i in range(30)) for k in range(4)]
