@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import kept, lean, written
 
 #: Labelled documents the classifier is fitted on at most, those with the smallest hashes of their doc_id.
 SAMPLE = 6000
@@ -143,13 +143,8 @@ def fit(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], np.ndarray, np
 
 def _scorer(known: np.ndarray, w: np.ndarray):
     """A function of a text: its shares and its words."""
-    import sys
-
     # the features of words already met stay in the worker while the fit is the same
-    key = hash((known.tobytes(), w.tobytes()))
-    if sys.__dict__.get("_solterra_words", (None,))[0] != key:
-        sys.__dict__["_solterra_words"] = (key, {})
-    met, at = sys.__dict__["_solterra_words"][1], {int(h): k for k, h in enumerate(known)}
+    met, at = kept("words", hash((known.tobytes(), w.tobytes())), dict), {int(h): k for k, h in enumerate(known)}
 
     def of(text: str | None) -> tuple[np.ndarray, int]:
         words = (text or "").lower().split()
@@ -188,7 +183,7 @@ def _shares(known: np.ndarray, w: np.ndarray, steps: list[np.ndarray] | None, co
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["doc_id", "n_tokens", "shares"])
 
-    return run
+    return lean(run)
 
 
 def rates(shares: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:

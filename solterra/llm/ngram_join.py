@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Tables, free_name, most_frequent
+from .common import Tables, free_name, lean, most_frequent
 from .shingles import shingle_sets
 
 #: Columns put last in the order, the most frequent ones: 16 bytes each in every task.
@@ -102,7 +102,7 @@ def _sets(n: int):
         if held:
             yield frequent()
 
-    return run
+    return lean(run, stateless=True)
 
 
 def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray):
@@ -141,7 +141,7 @@ def _prefixes(n: int, percent: int, hot: np.ndarray, rank: np.ndarray):
             if len(seen) > 200_000:
                 seen.clear()
 
-    return run
+    return lean(run, stateless=True)
 
 
 def _shared(batches):
@@ -215,7 +215,7 @@ def _beside(n: int, percent: int):
             if ends:
                 yield _batch(PAIR, ends, comps)
 
-    return run
+    return lean(run, stateless=True)
 
 
 def _links(left: list, right: list, percent: int) -> list[tuple[int, int]]:
@@ -274,7 +274,7 @@ def _blocks(n: int, percent: int):
         if at is not None and (found := done()):
             yield _batch(PAIR, *zip(*found))
 
-    return run
+    return lean(run, stateless=True)
 
 
 def _multiply(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -358,7 +358,7 @@ def ngram_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     entry = "key long, salt int, node long, pos int"
     entries = docs.select("text").mapInArrow(_prefixes(n, percent, hot[order], rank), entry)
-    shared = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(_shared, entry)
+    shared = entries.repartition("key", "salt").sortWithinPartitions("key", "salt", "node").mapInArrow(lean(_shared, stateless=True), entry)
     # place among the row's shared columns, and their number; a row has as many as its prefix is long
     row = Window.partitionBy("node")
     placed = shared.join(signs.select("node", F.col("n").cast("int").alias("n")).hint("merge"), "node").select("key", "node", "n", (F.row_number().over(row.orderBy("pos")) - 1).alias("t"), F.count("*").over(row).cast("int").alias("s"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .tokens import Pieces
 
 #: Pre-tokens sent to each task: about 20 MB in a Python worker.
@@ -39,7 +39,7 @@ def _count_pretokens(path: str):
                     seen.clear()
         yield out()
 
-    return run
+    return lean(run)
 
 
 def _measure(path: str):
@@ -49,7 +49,7 @@ def _measure(path: str):
             ids = pieces.ids(batch.column("piece").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("n"), pa.array([len(x) for x in ids], pa.int64())], ["piece", "n", "k"])
 
-    return run
+    return lean(run)
 
 
 def _per_document(path: str, hot: dict[str, int]):
@@ -73,7 +73,7 @@ def _per_document(path: str, hot: dict[str, int]):
                     out = []
             yield _rows(out)
 
-    return run
+    return lean(run)
 
 
 def _zeros():

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Tables, remove, scratch
+from .common import Tables, lean, remove, scratch
 from .tokens import Pieces
 
 MAGIC = b"RNS2"
@@ -166,7 +166,7 @@ def _encode(path: str, end_id: int):
                 row += len(ids)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), at, pa.array(ids, pa.binary())], ["doc_id", "th", "row", "ids"])
 
-    return run
+    return lean(run)
 
 
 def _histogram(dtype: str):
@@ -180,7 +180,7 @@ def _histogram(dtype: str):
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token", "n"])
 
-    return run
+    return lean(run)
 
 
 def _frames(dtype: str, freq: np.ndarray):
@@ -211,7 +211,7 @@ def _frames(dtype: str, freq: np.ndarray):
         if keys:
             yield out()
 
-    return run
+    return lean(run)
 
 
 FRAME = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("n_docs", pa.int64()), ("frame", pa.binary())])
@@ -230,7 +230,7 @@ def _read(freq: np.ndarray, offsets: dict[int, int]):
                 begin = offsets[part] + start + ends - lengths
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(begin, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64()), pa.array([part] * len(keys), pa.int64()), pa.array([batch.column("block")[r].as_py()] * len(keys), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "part", "block"])
 
-    return run
+    return lean(run)
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, end_id: int) -> None:

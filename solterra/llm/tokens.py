@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 from array import array
 
+from .common import kept
+
 #: Characters on which `re`, the tokenizer's own regular expressions and Unicode versions cannot differ.
 PLAIN = re.compile("[\\t\\n\\x0b\\x0c\\r\\x20-\\x7e\\xa0-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u024f\\u2013-\\u201e]*")
 #: The word pattern of the lower-casing BPE (a fixed value of that vocabulary), and the same for PLAIN texts.
@@ -72,11 +73,7 @@ class Pieces:
 
     @staticmethod
     def load(path: str) -> "Pieces":
-        # a Python worker serves many tasks: what it has loaded stays with the process
-        loaded = sys.__dict__.setdefault("_solterra_pieces", {})
-        if path not in loaded:
-            loaded[path] = Pieces(path)
-        return loaded[path]
+        return kept("pieces", path, lambda: Pieces(path))
 
     def _cut(self, part: str) -> list[str]:
         if self.spaced and PLAIN.fullmatch(part):

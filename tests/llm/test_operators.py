@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from solterra.llm.ngram_join import ngram_join
 from solterra.llm.queries import tokenizer_path
 from solterra.llm.sharding import shard_by_bytes, shard_of
 from solterra.llm.token_counts import token_counts
+from solterra.llm.tokens import Pieces
 
 ngram_module = sys.modules["solterra.llm.ngram_join"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th string, row long"
@@ -90,6 +92,25 @@ def test_token_counts(docs, rows, empty):
     assert token_counts(empty, tokenizer_path()).count() == 0
 
 
+def test_a_worker_keeps_the_state_of_one_operator():
+    gone = []
+
+    class Words(dict):
+        def __del__(self):
+            gone.append(1)
+
+    mixing._scorer(np.array([7], np.uint32), np.zeros((2, 2)))("one two")
+    kept = sys.__dict__["_solterra_kept"]
+    assert kept["of"][0] == "words" and set(kept["value"]) == {"one", "two"}
+    kept["value"] = Words()
+    del kept
+    pieces = Pieces.load(tokenizer_path())
+    assert gone and Pieces.load(tokenizer_path()) is pieces
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "th": [2], "text": [BASE]})
+    assert len(list(ngram_module._sets(5)(iter([batch])))) == 2
+    assert "_solterra_kept" not in sys.__dict__
+
+
 def test_ids_of_every_character():
     """Alone, inside a word, and beside a space, against the library."""
     from solterra.llm.tokens import Pieces
