@@ -6,6 +6,7 @@ import math
 import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -329,6 +330,55 @@ def test_numbers_are_no_letters(spark):
     assert got[100] == got[101] == "und" and got[102] == "en"
 
 
+def _plain_grams(text):
+    words = "".join(c if c.isalpha() else " " for c in text).split()
+    return Counter(g for w in words for g in [*w, *(f"_{w}_"[i : i + n] for n in (2, 3) for i in range(len(w) + 3 - n))])
+
+
+@pytest.mark.parametrize("chunk, slots, kept", [(language_id.CHUNK, language_id.SLOTS, language_id.KEPT), (7, 2, 30), (40, 18, 1_000_000), (1, 1, 1)])
+def test_grams_against_brute_force(monkeypatch, chunk, slots, kept):
+    """Letters of all planes and of changing length, signs that are no letters; small chunks, full slots, numbers given anew."""
+    for name, value in (("CHUNK", chunk), ("SLOTS", slots), ("KEPT", kept)):
+        monkeypatch.setattr(language_id, name, value)
+    rng = random.Random(11)
+    odd = "abcdeaei \n\t\x00_-'09\u00b2\u00bd\u2167\u0130\u00df\u03a3\u03c3\u0301\u4e2d\u6587\u0661\U0001d49c\U00010400\U0010ffff"
+    texts = ["", "a", " ", "_", "a_a", "\u03a3\u03a3 x\u03a3"] + ["".join(rng.choice(odd) for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    texts = [t.lower() for t in texts]
+    for first in ((), ["a", "_a", "_a_", "\u4e2d\u6587b", "zz"]):
+        grams = language_id.Grams(first)
+        got = [dict(zip(language_id._grams(grams.keys[at]), c.tolist())) for at, c in grams.counts(texts)]
+        assert got == [dict(_plain_grams(t)) for t in texts]
+        assert language_id._grams(grams.keys[1 : len(first) + 1]) == list(first) and grams.crc().tolist() == [zlib.crc32(g.encode()) for g in language_id._grams(grams.keys)]
+    monkeypatch.setattr(language_id, "SUMS", 10 * kept)
+    batch = pa.RecordBatch.from_pydict({"lang": ["x", "y", ""] * 22, "text": texts})
+    learned = Counter()
+    for b in language_id._count(iter([batch, batch])):
+        for r in b.to_pylist():
+            learned[r["lang"], r["gram"]] += r["n"]
+    want = Counter()
+    for lang, t in zip(["x", "y", ""] * 22, texts):
+        want.update({(lang, g): 2 * n for g, n in _plain_grams(t).items()})
+    assert learned == want
+
+
+def test_language_id_costs_less_than_plain_counting():
+    """Words that never come again: learning and predicting take less CPU time than counting n-grams one by one."""
+    rng = random.Random(12)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 10))) for _ in range(250)) for _ in range(400)]
+    began = time.process_time()
+    counts = [_plain_grams(t) for t in texts]
+    plain = time.process_time() - began
+    profiles = {lang: _ranked(sum(counts[k : k + 20], Counter())) for k, lang in enumerate(("a", "b", "c", "d"))}
+    n = len(texts)
+    learn = pa.RecordBatch.from_pydict({"lang": ["a", "b"] * (n // 2), "text": texts})
+    predict = pa.RecordBatch.from_pydict({"doc_id": range(n), "held_out": [False] * n, "text": texts, "lang_pred": ["und"] * n, "score": [0.0] * n})
+    list(language_id._count(iter([learn.slice(0, 1)])))  # what a process makes once
+    began = time.process_time()
+    list(language_id._count(iter([learn])))
+    list(language_id._predict(profiles, True)(iter([predict])))
+    assert time.process_time() - began < plain
+
+
 def test_pipeline_decides_row_by_row(spark, tmp_path):
     """Repeated, null and shared doc_ids, null texts, and columns with clashing names."""
     import corpus_pipeline
